@@ -29,7 +29,7 @@ SYMBOLS = "[#*$%&|<>]"
 RULES: dict[str, str] = {
     "many_symbols": "10 * n_symbols > n_words",
     "word_length": "word_chars < 2 * n_words or word_chars > 14 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
     "shouting": "10 * length(regexp_replace(__text, '[^A-Z]+', '')) > 3 * word_chars",
     "few_letters": "10 * length(regexp_replace(__text, '[^\\\\p{L}]+', '')) < 6 * word_chars",
     "stuttering": "10 * size(filter(__hashes, (h, i) -> i > 0 and h = __hashes[greatest(i - 1, 0)])) > 3 * n_words",
