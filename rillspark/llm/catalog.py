@@ -60,7 +60,7 @@ ORACLE = {
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS h FROM w, unnest(range(1, len(ws) - 6)) AS u(i)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1),
@@ -80,7 +80,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 2 * n_dup_lines > n_lines
             OR 10 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * word_chars
             OR 10 * len(regexp_replace(t, '[^\p{L}]+', '', 'g')) < 6 * word_chars
-            OR 10 * len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) > 3 * n_words
+            OR 10 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) > 3 * n_words
             OR (n_words >= 50 AND 10 * len(list_distinct(ws)) < n_words)) AS kept
 FROM b
 """,
