@@ -12,9 +12,9 @@ buckets: two sets at a similarity of 0.8 share no bucket with a chance of 3e-7.
 2. In each bucket every member is paired with one hub, never with all others.  The pairs
    are checked on full shingle sets, and links make components.
 3. Buckets that still span several components get two more rounds with other hubs.
-4. What is left in such buckets is checked pair by pair, across components only, after the
-   sizes and four bits of each value are compared inside the join (a pair at 0.8 fails that
-   with a chance under 1e-7).  So no shared bucket is left unexamined, and nothing is capped.
+4. What is left in such buckets is checked across components only, inside the join: sizes,
+   then four bits of each value (a pair at 0.8 fails that with a chance under 1e-7), then the
+   full sets.  The join makes rows of links alone; no bucket is left unexamined or capped.
 
 Shingle sets are made anew for members of shared buckets alone, found by a bit filter of
 fixed size.  All intermediate tables are written to the shared folder.
@@ -182,14 +182,16 @@ def near_components(docs: DataFrame, size: int, id_col: str = "doc_id", text_col
     spanning = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
     longs = 2 * PERMUTATIONS // 16
     flat = reps.select("id", "n_shingles", *(F.col("bits")[i].alias(f"b{i}") for i in range(longs)))
-    left = written(now.join(spanning, "bucket").join(flat, "id"), "open")
+    left = now.join(spanning, "bucket").join(flat, "id").join(sets, "id")
     x, y = left.alias("x"), left.alias("y")
     # a chance agreement of four bits is one in sixteen
     need = round(192 * (1 / 16 + 15 / 16 * percent / 100) - 192 * (1 / 16 + 15 / 16 * 0.8) + AGREE_AT_80)
+    # cheap tests first; the full sets are compared inside the join, so that it makes rows of links alone
     alike = F.expr(
-        f"x.bucket = y.bucket and x.id < y.id and x.component != y.component and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) and {_agreeing('x.b', 'y.b', longs)} >= {need}"
+        f"x.bucket = y.bucket and x.id < y.id and x.component != y.component and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
+        f" and {_agreeing('x.b', 'y.b', longs)} >= {need} and {100 + percent} * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n_shingles + y.n_shingles)"
     )
-    new = written(links(x.join(y, alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), "links")
+    new = written(x.join(y, alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "links")
     if not new.isEmpty():
         labels = merged(new)
 
