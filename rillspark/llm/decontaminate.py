@@ -125,7 +125,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # one row for each different window, so repeated items multiply nothing
     items = items.groupBy("seed", "words").agg(F.min(F.struct("id", "place")).alias("i")).select("seed", F.col("words").alias("theirs"), F.col("i.id").alias(item_col), F.col("i.place").alias("item_place"))
     short = [r[0] for r in items.select(F.size("theirs").alias("n")).distinct().collect() if r[0] < SPAN]  # five sizes at most
-    found = _windows(docs, id_col, text_col, bit_filter(items.select("seed"), "seed"), sorted(short))
+    found = written(_windows(docs, id_col, text_col, bit_filter(items.select("seed"), "seed"), sorted(short)), "windows")
     pairs = found.join(items, "seed").where(F.size("words") == F.size("theirs"))
     wrong = F.size(F.filter(F.zip_with("words", "theirs", lambda a, b: a != b), lambda x: x))
     checked = pairs.select(F.col("id").alias(id_col), "place", item_col, "item_place", wrong.alias("substitutions"), F.size("words").alias("n"))
