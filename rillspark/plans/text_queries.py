@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillspark.operators import ranking, texts
+from rillspark.operators import blocks, ranking, texts
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -77,6 +77,16 @@ def retrieval_topk(t: Tables):
     return ranking.top_of_each(s, ["item_id"], [F.desc("hits"), F.col("doc_id")], 3).select("item_id", "doc_id", "hits")
 
 
+@BOOK.query(
+    f"WITH q AS (SELECT DISTINCT item_id, unnest({_LW}) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_LW}) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN d USING (w) GROUP BY 1, 2) "
+    "SELECT item_id, doc_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS k FROM s) WHERE k <= 3"
+)
+def retrieval_topk_all_words(t: Tables):
+    w = F.filter(F.array_distinct(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")), lambda x: x != "").alias("w")
+    s = blocks.most_shared_words(t("benchmark").select("item_id", w), t("documents").select("doc_id", w), 3)
+    return s.select(F.col("query").alias("item_id"), F.col("row").alias("doc_id"), F.col("score").alias("hits"))
+
+
 @BOOK.query("WITH r AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, text FROM conversations) SELECT conv_id, count(*) AS turns, max(CASE WHEN k = 1 THEN md5(text) END) AS opening FROM r GROUP BY 1")
 def first_turn_digest(t: Tables):
     first = F.min(F.struct("turn", "role", "text"))
