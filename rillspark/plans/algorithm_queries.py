@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.functions import scores
-from rillspark.operators import measures, mechanism, ranking
+from rillspark.operators import blocks, measures, mechanism, ranking
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -144,6 +144,16 @@ def cosine_topk(t: Tables):
     return e.where("vec_id != 0").crossJoin(F.broadcast(q)).select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
 
 
+@BOOK.query(
+    "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) "
+    "SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS k FROM s WHERE NOT isnan(s)) WHERE k <= 10"
+)
+def cosine_topk_all_queries(t: Tables):
+    e = t("embeddings").select("vec_id", "embedding")
+    s = blocks.nearest_by_cosine(e.where("vec_id % 50 = 0"), e, 10)
+    return s.select(F.col("query").alias("query_id"), F.col("row").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @BOOK.query("WITH r AS (SELECT p_partkey, p_brand, round(1 - (abs(p_size - 25) / 50.0 + abs(p_retailprice - 1000) / 2000.0) / 2, 6) AS sim FROM part) SELECT p_brand, p_partkey, sim FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY sim DESC, p_partkey) AS k FROM r) WHERE k <= 2")
 def case_similarity_topk(t: Tables):
     sim = F.round(1 - (F.abs(F.col("p_size") - 25) / 50.0 + F.abs(F.col("p_retailprice") - 1000) / 2000.0) / 2, 6)
