@@ -9,8 +9,10 @@ A span can be taken only if it has the shape of its kind: an at sign (plain or i
 for an address, so many digits for a number.  So only characters near a digit, an at sign or
 a bracketed "at" can be part of one, and the windows of ``WINDOW`` characters, every ``STEP``
 of them, cover all stretches around those; the rest of a text has no window.  Windows overlap.
-Each is decoded by Viterbi under the CRF; a span that touches an edge inside the
-text is left to the neighbour window that holds it whole.  What all windows propose is
+Each character takes its scores from the window in which it lies most central, and each
+covered stretch is decoded whole by one Viterbi pass under the CRF, so a span may cross any
+number of windows.  The tagger says whether an address is there; its shape says how far it
+goes, as the scores of a character far from the at sign do not tell.  What is proposed is
 reconciled over the whole text: the set of spans without overlap that has the highest sum of
 scores, after what overlaps a pattern's span is taken away.
 
@@ -26,6 +28,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -286,8 +289,11 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return out
 
 
-CUE = re.compile(r"[0-9@]+|[\[({]\s?at\s?[\])}]", re.I)
+# numbers with nothing but separators between them are one cue: no gap inside a card or phone
+CUE = re.compile(r"[0-9@]++(?:[\s()./_-]++[0-9@]++)*+|[\[({]\s?at\s?[\])}]", re.I)
 AT = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
+BEHIND = re.compile(r"\s?[A-Za-z0-9-]++(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)[A-Za-z0-9-]++)++", re.I)
+LONGEST = 320
 
 
 def window_starts(text: str) -> list[int]:
@@ -306,7 +312,7 @@ def has_shape(kind: int, s: str) -> bool:
     d = len(_digits(s))
     if kind == 0:
         m = AT.search(s)
-        return bool(m) and len(s) <= 320 and s[: m.start()].strip() != "" and bool(re.fullmatch(r"\s?[A-Za-z0-9-]+(\s?([.]|[\[({]\s?dot\s?[\])}])\s?[A-Za-z0-9-]+)+", s[m.end() :], re.I))
+        return bool(m) and len(s) <= LONGEST and s[: m.start()].strip() != "" and bool(re.fullmatch(r"\s?[A-Za-z0-9-]+(\s?([.]|[\[({]\s?dot\s?[\])}])\s?[A-Za-z0-9-]+)+", s[m.end() :], re.I))
     if kind == 1:
         return bool(IP.fullmatch(s)) and all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in s.split("."))
     if kind == 2:
@@ -332,10 +338,25 @@ def reconciled(proposed: list[tuple[int, int, int, float]]) -> list[tuple[int, i
     return sorted(out)
 
 
-def tagged_spans(texts: list[str], p: dict[str, np.ndarray], rows: int = 1024) -> list[list[tuple[int, int, int]]]:
-    """What the tagger finds in each text, reconciled over its windows."""
+def addresses(text: str, first: int, end: int) -> list[tuple[int, int]]:
+    """Whole addresses around the at signs in ``text[first:end]`` by their shape, of any length that has it."""
+    out = []
+    for m in AT.finditer(text, first, end):
+        stop = m.start() - (m.start() > 0 and text[m.start() - 1].isspace())
+        start = stop
+        while start > 0 and stop - start < LONGEST and text[start - 1] in LOCAL:
+            start -= 1
+        behind = BEHIND.match(text, m.end(), m.end() + LONGEST) if start < stop else None
+        if behind and has_shape(0, text[start : behind.end()]):
+            out.append((start, behind.end()))
+    return out
+
+
+def stretches(texts: list[str], p: dict[str, np.ndarray], rows: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, start, emissions of each character) of every stretch that windows cover without a gap."""
     where = [(i, a) for i, t in enumerate(texts) for a in window_starts(t)]
-    votes: list[dict] = [{} for _ in texts]
+    edge = STEP // 2
+    parts: list[np.ndarray] = []
     for at in range(0, len(where), rows):
         part = where[at : at + rows]
         ids = np.zeros((WINDOW, len(part)), np.int64)
@@ -343,23 +364,68 @@ def tagged_spans(texts: list[str], p: dict[str, np.ndarray], rows: int = 1024) -
             c = codes(texts[i][a : a + WINDOW])
             ids[: len(c), k] = c
         e, _ = _emissions(p, ids)
-        e[ids == 0] = np.r_[0, np.full(LABELS - 1, -1e4)].astype(np.float32)
-        labels = viterbi(e, p["trans"])
+        for k, (i, a) in enumerate(part):
+            n = at + k
+            if not parts:
+                begin = a
+                parts.append(e[:edge, k])
+            parts.append(e[edge : edge + STEP, k])
+            if n + 1 == len(where) or where[n + 1] != (i, a + STEP):
+                parts.append(e[edge + STEP :, k])
+                yield i, begin, np.concatenate(parts)[: len(texts[i]) - begin]
+                parts = []
+
+
+def decoded(found: list[tuple[int, int, np.ndarray]], trans: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+    """(text, start, labels) of stretches; those of about the same length are decoded together."""
+    found = sorted(found, key=lambda x: len(x[2]))
+    while found:
+        steps = len(found[0][2]) * 5 // 4 + STEP
+        n = next((k for k, x in enumerate(found) if len(x[2]) > steps), len(found))
+        group, found = found[:n], found[n:]
+        e = np.zeros((len(group[-1][2]), n, LABELS), np.float32)
+        e[:, :, 1:] = -1e4
+        for k, x in enumerate(group):
+            e[: len(x[2]), k] = x[2]
+        labels = viterbi(e, trans)
         for k in np.flatnonzero((labels > 0).any(0)).tolist():
-            i, a = part[k]
-            row, t, text = labels[:, k].tolist(), 0, texts[i]
-            while t < WINDOW:
+            i, a, own = group[k]
+            yield i, a, labels[: len(own), k].tolist()
+
+
+def tagged_spans(texts: list[str], p: dict[str, np.ndarray], rows: int = 1024) -> list[list[tuple[int, int, int]]]:
+    """What the tagger finds in each text, reconciled over the text."""
+    votes: list[dict] = [{} for _ in texts]
+    held: list[tuple[int, int, np.ndarray]] = []
+    size = 0
+
+    def take() -> None:
+        for i, a, row in decoded(held, p["trans"]):
+            t, text, near = 0, texts[i], 0
+            whole = addresses(text, a, a + len(row))
+            while t < len(row):
                 if row[t]:
                     kind, s = (row[t] - 1) // 2, t
                     t += 1
-                    while t < WINDOW and row[t] == 2 + 2 * kind:
+                    while t < len(row) and row[t] == 2 + 2 * kind:
                         t += 1
-                    inside = (s > 0 or a == 0) and (t < WINDOW or a + t >= len(text))
-                    if inside and has_shape(kind, text[a + s : a + t]):
-                        key = (a + s, kind, a + t)
-                        votes[i][key] = votes[i].get(key, 0.0) + t - s
+                    while near < len(whole) and whole[near][1] <= a + s:
+                        near += 1
+                    spans = list(takewhile(lambda x: x[0] < a + t, (whole[k] for k in range(near, len(whole))))) if kind == 0 else []  # noqa: B023
+                    if not spans and has_shape(kind, text[a + s : a + t]):
+                        spans = [(a + s, a + t)]
+                    for first, end in spans:
+                        votes[i][first, kind, end] = float(end - first)
                 else:
                     t += 1
+
+    for x in stretches(texts, p, rows):
+        held.append(x)
+        size += len(x[2])
+        if size >= rows * WINDOW:
+            take()
+            held, size = [], 0
+    take()
     return [reconciled([(*k, v) for k, v in found.items()]) if found else [] for found in votes]
 
 

@@ -125,6 +125,27 @@ def test_windows_are_reconciled_globally():
     assert [long[a:b] for a, _, b in found] == ["(555) 123-4567"]
 
 
+@pytest.mark.parametrize("n", [58, 70, 95, 110, 250])
+def test_long_addresses_are_found_whole_at_every_offset(n):
+    r = random.Random(n)
+    plain = lambda k: "".join(r.choice("aeionrstlducmphgbk") for _ in range(k))
+    texts, want = [], []
+    for offset in range(pii.STEP):
+        before = " ".join(plain(5) for _ in range(16)) + " " + "x" * offset + " "
+        tail = f" [at] {plain(6)} [dot] example [dot] com"
+        name = plain((n - len(tail)) // 2) + "_"
+        name += plain(n - len(tail) - len(name))
+        texts.append(before + name + tail + " " + " ".join(plain(5) for _ in range(20)))
+        want.append([(len(before), 0, len(before) + n)])
+    assert pii.tagged_spans(texts, pii.trained_tagger()) == want
+
+
+def test_windows_leave_no_gap_inside_a_number():
+    text = "x" * 500 + " 5555" + " " * 300 + "5555 5555 4444 " + "x" * 500
+    starts = pii.window_starts(text)
+    assert starts == list(range(starts[0], starts[-1] + 1, pii.STEP)) and starts[0] <= 460 and starts[-1] >= 820 - pii.WINDOW
+
+
 # 2
 
 
