@@ -4,7 +4,12 @@ A page is read as a sequence of words and tags.  Each has a score, a log-odds we
 labelled pages: words inside running text score positive; tags, and words inside menus,
 links, forms, notices, adverts and the like, score negative.  One linear scan finds the
 contiguous run with the highest sum (the first of equal ones).  Its words, without
-those of an element inside it that the weights take for page furniture, are the text.
+those of an element inside it that is marked as page furniture, are the text.
+
+A furniture element counts as one cost with all it holds.  Below ``article`` or ``main``, or
+nested in another element on a page that has neither, that is the learned cost of one tag, so
+the run goes on behind it however long it is.  Elsewhere its words count, up to the worth of
+``BRIDGE`` words of text.
 
 The labelled pages are made by :func:`labelled_pages` from a fixed seed (``LABELLED`` of
 them, the bound of the training sample), so the weights are the same everywhere and at every
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame
 from rillspark.llm.common import sliced
 
 LABELLED = 240
+BRIDGE = 20
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -49,6 +55,7 @@ MARKED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=\s|/|$)", re.S)
 
 
@@ -67,12 +74,14 @@ def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def events(page: str) -> Iterator[tuple[str, str, int]]:
-    """(kind, what, words) in page order: kinds are ``tag``, ``text`` and ``furniture`` (text inside it).
+def events(page: str) -> Iterator[tuple[str, str, int, tuple[str, int] | None]]:
+    """(kind, what, words, element) in page order: kinds are ``tag``, ``text`` and ``furniture`` (text inside it).
 
-    ``what`` of a text is the raw text; of a tag, its class for scoring.
+    ``what`` of a text is the raw text; of a tag, its class for scoring.  ``element`` is the
+    place and number of the outermost furniture that the event belongs to.
     """
-    at, stack = 0, []  # of open elements: (tag, furniture inside or above)
+    at, stack = 0, []  # of open elements: (tag, outermost furniture here or above)
+    number, plain = 0, not ARTICLE.search(page)
     depth_article = 0
     raw_end = None
     while at < len(page):
@@ -80,13 +89,13 @@ def events(page: str) -> Iterator[tuple[str, str, int]]:
         stop = m.start() if m else len(page)
         if stop > at:
             text = page[at:stop]
-            marked = bool(stack) and stack[-1][1]
+            marked = stack[-1][1] if stack else None
             in_link = any(t == "a" for t, _ in stack[-3:])
             n = len(text.split())
             if n:
-                yield ("furniture" if marked else "link" if in_link else "text", text, n)
+                yield ("furniture" if marked else "link" if in_link else "text", text, n, marked)
             else:
-                yield ("space", text, 0)
+                yield ("space", text, 0, marked)
         if not m:
             return
         at = m.end()
@@ -95,16 +104,19 @@ def events(page: str) -> Iterator[tuple[str, str, int]]:
             continue
         if closing:
             open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            marked = stack[-1][1] if stack else None
             if open_at is not None:
+                marked = stack[open_at][1]
                 depth_article -= sum(t in ("article", "main") for t, _ in stack[open_at:])
                 del stack[open_at:]
-            yield ("tag", "/" + tag, 0)
+            yield ("tag", "/" + tag, 0, marked)
             continue
-        yield ("tag", tag, 0)
         if tag in RAW:
+            marked = stack[-1][1] if stack else None
+            yield ("tag", tag, 0, marked)
             raw_end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = raw_end.end() if raw_end else len(page)
-            yield ("tag", "/" + tag, 0)
+            yield ("tag", "/" + tag, 0, marked)
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
@@ -120,10 +132,15 @@ def events(page: str) -> Iterator[tuple[str, str, int]]:
                     break
                 if stack[i][0] in ("ul", "ol", "menu"):
                     break
+        marked = stack[-1][1] if stack else None
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            above = bool(stack) and stack[-1][1]
+            place = "article" if depth_article else "nested" if plain and stack and stack[-1][0] not in ("html", "body") else "top"
             depth_article += tag in ("article", "main")
-            stack.append((tag, above or is_furniture(tag, attributes, depth_article > 0)))
+            if not marked and is_furniture(tag, attributes, depth_article > 0):
+                number += 1
+                marked = (place, number)
+            stack.append((tag, marked))
+        yield ("tag", tag, 0, marked)
 
 
 # -- labelled pages ---------------------------------------------------------------------
@@ -135,10 +152,16 @@ def labelled_pages(n: int = LABELLED, seed: int = 20240501) -> list[tuple[str, t
     word = lambda: "".join(r.choice("aeionrstlducmph") for _ in range(r.randint(1, 9)))
     prose = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize() + "."
     links = lambda n: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
+    q = random.Random(seed + 1)
     out = []
     for _ in range(n):
         body = f"<h1>{prose(3, 9)}</h1>" + "".join(r.choice((f"<p>{prose(8, 90)}</p>", f"<p>{prose(8, 60)} <a href='/x'>{word()}</a> {prose(3, 20)}</p>", f"<h2>{prose(2, 6)}</h2>", f"<ul><li>{prose(4, 12)}</li><li>{prose(4, 12)}</li></ul>", f"<p><b>{prose(1, 30)}<br><p>{prose(5, 40)}</p>", f"<blockquote>{prose(5, 30)}</blockquote>")) for _ in range(r.randint(1, 14)))
         opening, closing = r.choice((("<article>", "</article>"), ("<main><div class='content'>", "</div></main>"), ('<div id="post">', "</div>"), ('<section class="story">', "</section>")))
+        if q.random() < 0.4:  # furniture inside the article, behind one of its headings, paragraphs or lists
+            places = [m.end() for m in re.finditer("</(?:h1|h2|p|ul|blockquote)>", body)]
+            at = q.choice(places)
+            some = lambda a, b: " ".join(q.choice(("aside", "offer", "sale", "read", "more", "today")) for _ in range(q.randint(a, b)))
+            body = body[:at] + q.choice((f'<div class="ad">{some(3, 80)}</div>', f"<aside><p>{some(5, 80)}</p></aside>", f'<form class="newsletter"><label>{some(2, 30)}</label><input><button>{some(1, 2)}</button></form>', f'<div class="notice"><p>{some(5, 60)}</p></div>')) + body[at:]
         article = opening + body + closing
         before = r.choice((f"<nav><ul>{links(r.randint(3, 12))}</ul></nav>", f'<div class="menu">{links(5)}</div>', f"<header><a href='/'>{word()}</a><p>{prose(2, 5)}</p></header>")) + r.choice(("", f'<div class="ad">{prose(3, 14)}</div>', f'<div class="cookie-notice">{prose(5, 20)}</div>', f"<form><label>{word()}</label><input><button>{word()}</button></form>"))
         after = r.choice(("", f"<aside class='sidebar'><p>{prose(5, 25)}</p><ul>{links(4)}</ul></aside>", f"<div class='comments'><p>{prose(5, 30)}</p><p>{prose(5, 30)}</p></div>")) + f"<footer>&copy; {word()} &middot; {prose(2, 12)}</footer>"
@@ -151,13 +174,20 @@ def labelled_pages(n: int = LABELLED, seed: int = 20240501) -> list[tuple[str, t
 def trained_weights() -> dict[tuple[str, str], float]:
     """Log-odds of lying inside the article, with add-one smoothing, for tags and kinds of words.
 
-    Tags keep at most zero: they are costs, as words are the only gain.
+    Tags keep at most zero: they are costs, as words are the only gain.  So do the furniture
+    elements of each place; what they hold counts by itself only at the top.
     """
     inside: Counter = Counter()
     outside: Counter = Counter()
     for page, (a, b) in labelled_pages():
         for part, where in ((page[:a], outside), (page[a:b], inside), (page[b:], outside)):
-            for kind, what, n in events(part):
+            known: set[tuple[str, int]] = set()
+            for kind, what, n, element in events(part):
+                if element and element not in known:
+                    known.add(element)
+                    where["element", element[0]] += 1
+                if element and element[0] != "top":
+                    continue
                 if kind == "tag":
                     where["tag", what.lstrip("/")] += 1
                 elif n:
@@ -165,7 +195,7 @@ def trained_weights() -> dict[tuple[str, str], float]:
     weights = {}
     for key in sorted(inside.keys() | outside.keys()):
         w = math.log((inside[key] + 1) / (outside[key] + 1))
-        weights[key] = min(w, -0.05) if key[0] == "tag" else w
+        weights[key] = min(w, -0.05) if key[0] in ("tag", "element") else w
     return weights
 
 
@@ -187,10 +217,19 @@ def main_text(page: str | None, weights: dict[tuple[str, str], float] | None = N
     w = weights or trained_weights()
     seen = list(events(page))
     other_tag, none = -0.2, 0.0
-    scores = [w.get(("tag", what.lstrip("/")), other_tag) if kind == "tag" else w.get((kind, ""), none) * n for kind, what, n in seen]
+    scores = [w.get(("tag", what.lstrip("/")), other_tag) if kind == "tag" else w.get((kind, ""), none) * n for kind, what, n, _ in seen]
+    # an element's cost stands at its first event
+    most = -BRIDGE * w.get(("text", ""), none)
+    first: dict[tuple[str, int], int] = {}
+    for i, (*_, element) in enumerate(seen):
+        if element and (at := first.setdefault(element, i)) != i:
+            scores[at] += scores[i]
+            scores[i] = 0.0
+    for (place, _), at in first.items():
+        scores[at] = max(scores[at], most) if place == "top" else w.get(("element", place), other_tag)
     a, b = best_run(scores)
     blocks, now = [], []
-    for kind, what, _ in seen[a:b]:
+    for kind, what, *_ in seen[a:b]:
         if kind == "tag":
             if what.lstrip("/") in BLOCKS:
                 blocks.append("".join(now))

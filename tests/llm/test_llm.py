@@ -159,6 +159,16 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("opening, closing", [("<article>", "</article>"), ("<main><div>", "</div></main>"), ('<div id="post">', "</div>"), ("", "")])
+@pytest.mark.parametrize("furniture", ["<aside><p>{}</p></aside>", '<div class="ad">{}</div>', '<form class="newsletter"><label>{}</label><input></form>', '<div class="notice"><p>{}</p><ul><li>one</li></ul></div>'])
+def test_long_furniture_does_not_split_an_article(opening, closing, furniture):
+    n = lambda k, word: " ".join([word] * k)
+    long = furniture.format(n(200, "sale"))
+    start, end = f"<h1>{n(6, 'head')}</h1><p>{n(20, 'lead')}</p>", f"<p>{n(20, 'tail')}</p><p>{n(6, 'last')}</p>"
+    page = f"<html><head><title>no</title></head><body><nav><a href=x>menu</a></nav>{opening}{start}{long}<p>{n(300, 'text')}</p>{long}{end}{closing}<div class=comments><p>{n(30, 'nice')}</p></div><footer>me</footer></body></html>"
+    assert html_text.main_text(page) == "\n".join((n(6, "head"), n(20, "lead"), n(300, "text"), n(20, "tail"), n(6, "last")))
+
+
 def test_best_run_against_all_runs():
     r = random.Random(2)
     for _ in range(100):
