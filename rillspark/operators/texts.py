@@ -1,4 +1,4 @@
-"""Text operators: line cleaning, repeated lines, chunks with spans, keywords, n-grams, TF-IDF."""
+"""Text operators: line cleaning, repeated lines, chunks with spans, keywords, TF-IDF of words."""
 
 from __future__ import annotations
 
