@@ -29,20 +29,49 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset and all of Spark is one local process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Paths of the tables written by this driver and not yet removed, oldest first.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    Cuts the lineage: an executor that is lost afterwards costs no earlier stage.
+    Cuts the lineage: an executor that is lost afterwards costs no earlier stage.  The table
+    stays until :func:`removed` takes it away.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tables_so_far() -> int:
+    """A mark for :func:`removed`."""
+    return len(_tables)
+
+
+def removed(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Removes the tables written since a mark, all but the last one if asked for; how many these were.
+
+    For the caller of a job, once its result is written or read: until then the result
+    may need any of them.
+    """
+    stop = len(_tables) - keep_last
+    gone = _tables[since:stop]
+    del _tables[since:stop]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
