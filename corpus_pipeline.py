@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from rillspark.llm import bpe, decontaminate, near_dup, packing, pii, quality
-from rillspark.session import written
+from rillspark.session import removed, tables_so_far, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each stage's rows written and read again."""
+    """All stages over the documents, each stage's rows written and read again; only the last table stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = tables_so_far()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        # this stage's table is whole: neither what the stage wrote on its way nor the one before it is read again
+        removed(spark, before, keep_last=True)
     return docs
