@@ -1,25 +1,32 @@
 """Ids of a public byte-level BPE vocabulary, from the tokenizers library.
 
-The pre-tokenizer of that vocabulary always starts a new pre-token at the last
-blank of a run that has a non-blank behind it, and it never looks back.  Nor does
-a run of white space that starts with a blank join what is before it.  So a text may be
-cut at both places and each distinct part encoded once; the joined ids are those of the
-whole text.  A text that holds one of the vocabulary's special strings is
-encoded as one.
+The pre-tokenizer of that vocabulary starts a new pre-token at a blank, and at a newline,
+that stands between two characters that are not white space; it never looks back.  So a
+text may be cut before each of them, each distinct part encoded once, and the joined ids
+are those of the whole text.  A text in which other white space touches white space is cut more
+carefully, and one that holds a special string of the vocabulary is encoded as one.
+
+Parts have numbers.  Their ids stand one after the other in one flat array, so a batch of
+texts is one look-up for each part and one gather.  A word with punctuation behind
+it takes its ids from those of the word and those of the punctuation: a run of letters and a
+run of punctuation are always pre-tokens of their own.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Distinct parts kept by a Python worker; beyond it the memory starts afresh.
-KEPT_PARTS = 500_000
-#: A blank with white space before it and white space or nothing behind it.
-INSIDE_RUN = re.compile(r"\s (?:\s|$)")
+#: Distinct parts, and characters of long ones, kept by a Python worker; beyond that the memory starts afresh.
+KEPT_PARTS, KEPT_CHARS = 1_000_000, 50_000_000
+#: Punctuation that may stand behind a word; no apostrophe, as some endings with one are pre-tokens.
+BEHIND = "*$%&#.,;:!?|<>\")]"
+#: Letters below this are letters in every version of Unicode.
+LATIN = "\u0250"
+#: Characters of parts that are encoded together.
+JOINED = 4000
 
 
 def default_path() -> str:
@@ -28,78 +35,141 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Numbers(dict):
+    """Numbers of keys in the order in which they come up; new keys are listed in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
+class Growing:
+    """A numpy array that is appended to."""
+
+    def __init__(self, kind: str):
+        self.data, self.n = np.empty(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(max(need, self.n), self.data.dtype)])
+        self.data[self.n : need] = more
+        self.n = need
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class PartEncoder:
+    """Keys of parts: ``word`` is a part with a blank before it, a part that starts with a newline
+    stands for itself, and `` text`` (a blank first) is a text as it is, encoded by itself."""
+
     def __init__(self, path: str, kept: int = KEPT_PARTS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.kept, self.whole, self.after_blank = kept, {}, {}
+        self.kept = kept
         #: In a byte-level vocabulary each character of a token's name is one byte.
         self.n_bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())])
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _after_blank(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of each part with a blank before it.
-
-        Parts without white space at their ends are joined and encoded some thousand
-        characters at a time; as each id stands for a known number of bytes, the running
-        sum of those gives the ids of each part.
-        """
-        ends = [p for p in parts if not p or p[0].isspace() or p[-1].isspace()]
-        plain = [p for p in parts if p and not (p[0].isspace() or p[-1].isspace())]
-        out = dict(zip(ends, self._ids([" " + p for p in ends]), strict=True))
-        at = 0
-        while at < len(plain):
-            some, size = [], 0
-            while at < len(plain) and (not some or size + len(plain[at]) < 4000):
-                some.append(plain[at])
-                size += len(plain[at]) + 1
-                at += 1
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            stop = np.cumsum(self.n_bytes[ids])
-            want = np.cumsum([len(p.encode()) + 1 for p in some])
-            cut = np.searchsorted(stop, want) + 1
-            buf, a = ids.tobytes(), 0
-            for p, b in zip(some, cut.tolist(), strict=True):
-                out[p] = buf[4 * a : 4 * b]
-                a = b
-        return out
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The little-endian unsigned 32-bit ids of each text; none for null and the empty text."""
-        split: list[tuple[bool, list[str]]] = []
-        new_whole: dict[str, None] = {}
-        new_after: dict[str, None] = {}
-        if len(self.whole) + len(self.after_blank) > self.kept:
-            self.whole.clear()
-            self.after_blank.clear()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.chars = Numbers(), 0
+        self.ids, self.starts, self.lengths, self.odd = Growing("<u4"), Growing("i8"), Growing("i8"), Growing("?")
+
+    def _learn(self) -> None:
+        """Ids of the parts that have come up since the last call."""
+        fresh, first = self.numbers.fresh, self.starts.n
+        numbers = self.numbers
+        joined, alone, made = [], [], []
+        odd = []
+        # the list grows while it is read: a word, and what stands behind it, may be new parts themselves
+        for i, key in enumerate(fresh):
+            n = first + i
+            if key[:1] == " ":
+                alone.append((n, key[1:]))
+                self.chars += len(key)
+            elif not key or key[-1].isspace() or key[0].isspace() and (key[0] != "\n" or key[1].isspace()):
+                odd.append(n)
+            else:
+                word = key.rstrip(BEHIND)
+                if len(word) < len(key) and word.isalpha() and max(word) < LATIN:
+                    made.append((n, numbers[word], numbers[" " + key[len(word) :]]))
+                else:
+                    joined.append((n, key if key[0] == "\n" else " " + key))
+        total = len(fresh)
+        fresh.clear()
+        starts, lengths, is_odd = np.zeros(total, "i8"), np.zeros(total, "i8"), np.zeros(total, bool)
+        is_odd[np.array(odd, "i8") - first] = True
+
+        def add(which: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+            at = np.array(which, "i8") - first
+            starts[at], lengths[at] = self.ids.n + np.cumsum(sizes) - sizes, sizes
+            self.ids.add(ids)
+
+        if alone:
+            ids = [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([t for _, t in alone], add_special_tokens=False)]
+            add([n for n, _ in alone], np.concatenate(ids), np.array([len(x) for x in ids]))
+        if joined:
+            texts, at, size = [], 0, 0
+            for i, (_, t) in enumerate(joined):
+                size += len(t)
+                if size >= JOINED or i + 1 == len(joined):
+                    texts.append("".join(x for _, x in joined[at : i + 1]))
+                    at, size = i + 1, 0
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            # each id stands for a known number of bytes, so their running sum tells where parts end
+            until = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(t) if t.isascii() else len(t.encode()) for _, t in joined])) + 1
+            add([n for n, _ in joined], ids, np.diff(until, prepend=0))
+        self.starts.add(starts)
+        self.lengths.add(lengths)
+        self.odd.add(is_odd)
+        if made:
+            which = np.array(made, "i8")
+            pairs = which[:, 1:].ravel()
+            sizes = self.lengths.data[pairs]
+            both = self.ids.data[spans(self.starts.data[pairs], sizes)]
+            total_of = sizes.reshape(-1, 2).sum(1)
+            self.starts.data[which[:, 0]], self.lengths.data[which[:, 0]] = self.ids.n + np.cumsum(total_of) - total_of, total_of
+            self.ids.add(both)
+
+    def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The unsigned 32-bit ids of all texts, each with ``end`` behind it, and how many each has."""
+        if len(self.numbers) > self.kept or self.chars > KEPT_CHARS:
+            self._forget()
+        texts = list(texts)
+        get, parts = self.numbers.__getitem__, []
         for t in texts:
             if not t:
-                split.append((False, []))
+                parts.append([])
             elif any(s in t for s in self.special):
-                split.append((False, [t]))
-                new_whole[t] = None
-            elif t[0] == " " or INSIDE_RUN.search(t):
-                parts = careful_parts(t)
-                split.append((False, parts))
-                new_whole.update((p, None) for p in parts if p not in self.whole)
+                parts.append([" " + t])
             else:
-                parts = t.split(" ")
-                split.append((True, parts))
-                if parts[0] not in self.whole:
-                    new_whole[parts[0]] = None
-                seen = self.after_blank
-                new_after.update((p, None) for p in parts[1:] if p not in seen)
-        if new_whole:
-            self.whole.update(zip(new_whole, self._ids(list(new_whole)), strict=True))
-        if new_after:
-            self.after_blank.update(self._after_blank(list(new_after)))
-        get, get_after = self.whole.__getitem__, self.after_blank.__getitem__
-        return [get(p[0]) + b"".join(map(get_after, p[1:])) if plain else b"".join(map(get, p)) for plain, p in split]
+                head, *rest = t.replace("\n", " \n").split(" ")
+                parts.append([" " + head, *rest] if head else rest)
+        found = [np.fromiter(map(get, p), np.int64, len(p)) for p in parts]
+        self._learn()
+        for i, f in enumerate(found):
+            if self.odd.data[f].any():
+                careful = [" " + p for p in careful_parts(texts[i])]
+                found[i] = np.fromiter(map(get, careful), np.int64, len(careful))
+        if self.numbers.fresh:
+            self._learn()
+        n_parts = np.array([len(f) for f in found], "i8")
+        which = np.concatenate(found) if found else np.zeros(0, "i8")
+        sizes = self.lengths.data[which]
+        ids = self.ids.data[spans(self.starts.data[which], sizes)]
+        until = np.r_[0, np.cumsum(sizes)][np.cumsum(n_parts)]
+        return np.insert(ids, until, np.uint32(end)), np.diff(until, prepend=0) + 1
 
 
 def careful_parts(text: str) -> list[str]:

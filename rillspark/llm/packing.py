@@ -43,15 +43,16 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     if most & (most - 1) or most < 1:
         raise ValueError("the longest piece must be a power of two")
     kind = docs.schema[id_col].dataType.simpleString()
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in sliced(batches, text_col, 4_000_000):
             where, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, raw in enumerate(enc.encode(b.column(text_col).to_pylist())):
-                raw += last
-                n, at = len(raw) // 4, 0
+            flat, sizes = enc.encode(b.column(text_col).to_pylist(), end)
+            until = np.cumsum(sizes)
+            whole = memoryview(flat.tobytes())
+            for i, (n, first) in enumerate(zip(sizes.tolist(), (until - sizes).tolist(), strict=True)):
+                raw, at = whole[4 * first : 4 * (first + n)], 0
                 for size in piece_lengths(n, most):
                     one = raw[4 * at : 4 * (at + size)]
                     where.append(i)
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     crc.append(zlib.crc32(one))
                     total.append(n)
                     if with_ids:
-                        ids.append(one)
+                        ids.append(bytes(one))
                     at += size
             cols = [b.column(id_col).take(pa.array(where, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
             names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
