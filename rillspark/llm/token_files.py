@@ -14,14 +14,17 @@ symbol_ends    for each document, where its symbols end: documents never share a
 n_ids          for each document, its ids with the end id
 =============  ==========================================================================
 
-Random access reads one row (the statistics of Parquet lead to it), takes the slice of
-symbols of a document and expands only those; ``lengths`` gives the size before expanding.
+first_id and last_id, the smallest and largest id of a block, stand beside them.  Random access
+(:func:`read_documents`) is a filter on those two, which the statistics of Parquet answer, and expands
+only the symbols of the documents asked for; ``lengths`` gives their size before expanding.
 
-Each round counts adjacent pairs inside documents, takes the most frequent as new rules and
-replaces their occurrences from left to right.  Rules may use earlier nonterminals.
+Each round counts adjacent pairs inside documents, makes a rule of every pair that occurs ``LEAST``
+times or more and replaces occurrences from left to right.  Rules may use earlier
+nonterminals.  Rounds go on until no pair occurs ``LEAST`` times.
 
-Null and empty texts hold the end id alone; repeated doc_ids stay separate, in the order of
-their texts.
+Null and empty texts hold the end id alone; repeated doc_ids stay separate, in the order of a hash
+of their texts (equal texts have equal ids), and may lie in several shards.  A null doc_id
+comes first.  Other columns are not read.  No documents give no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.llm.bpe import encoder
+from rillspark.llm.bpe import encoder, spans
 from rillspark.llm.common import sliced
 from rillspark.session import written
 
@@ -42,53 +46,70 @@ END = 0
 #: First nonterminal: above every id of the vocabularies in use.
 BASE = 1 << 20
 BLOCK = 1_000_000
-ROUNDS, RULES_A_ROUND, LEAST = 4, 1024, 24
+#: Occurrences in a block that make a pair frequent.
+LEAST = 24
 #: Pairs are first counted in this many hash buckets, exactly after that.
 BUCKETS = 1 << 18
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols, symbol ends) of ids whose documents end before ``ends``."""
     seq = ids.astype(np.int32)
     cut = np.zeros(len(seq), bool)
     cut[np.asarray(ends) - 1] = True  # a last symbol of a document begins no pair
     rules, lengths = np.empty((0, 2), np.int32), np.empty(0, np.int32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        mixed = (seq[:-1].view(np.uint32) * np.uint32(0x9E3779B1)) ^ (seq[1:].view(np.uint32) * np.uint32(0x85EBCA77))
-        mixed = (mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - 18)
-        mixed[cut[:-1]] = BUCKETS
-        heavy = np.bincount(mixed, minlength=BUCKETS + 1)
-        heavy[BUCKETS] = 0
-        if heavy.max() < least:
-            break
-        floor = max(least, int(np.partition(heavy, -rules_a_round)[-rules_a_round])) if len(heavy) > rules_a_round else least
-        at = np.flatnonzero((heavy >= floor)[mixed])
-        pair = seq[at].astype(np.int64) << 32 | seq[at + 1]
-        kinds, which, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        good = np.flatnonzero(counts >= least)
-        if not len(good):
-            break
-        good = np.sort(good[np.lexsort((good, -counts[good]))[:rules_a_round]])
-        new = np.full(len(kinds), -1, np.int32)
-        new[good] = np.arange(len(good), dtype=np.int32)
-        which = new[which]
-        at, which = at[which >= 0], which[which >= 0]
+    # places whose pair may be frequent: the count of a pair of old symbols never grows
+    live, salt = ~cut, 0
+    while len(at := np.flatnonzero(live)):
+        salt += 1
+        first_of, second_of = seq[at], seq[at + 1]
+        mixed = ((first_of.view(np.uint32) * np.uint32(0x9E3779B1)) ^ (second_of.view(np.uint32) + np.uint32(salt))) * np.uint32(0x85EBCA77)
+        bucket = (((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - 18)).astype(np.int64)
+        # pairs whose bucket is not full cannot be frequent
+        some = (np.bincount(bucket, minlength=BUCKETS) >= least)[bucket]
+        live[at[~some]] = False
+        at, bucket, pair = at[some], bucket[some], first_of[some].astype(np.int64) << 32 | second_of[some]
+        # of each full bucket one pair is counted, without a sort; another round has other buckets
+        one = np.zeros(BUCKETS, np.int64)
+        one[bucket] = pair
+        its = one[bucket] == pair
+        often = np.bincount(bucket[its], minlength=BUCKETS) >= least
+        if often.any():
+            chosen = np.flatnonzero(often)
+            rank = np.zeros(BUCKETS, np.int32)
+            rank[chosen] = np.arange(len(chosen), dtype=np.int32)
+            frequent = often[bucket]
+            live[at[its & ~frequent]] = False
+            its &= frequent
+            kinds, at, which = one[chosen], at[its], rank[bucket[its]]
+        else:  # what shares its bucket with other pairs is counted exactly
+            kinds, which, counts = np.unique(pair, return_inverse=True, return_counts=True)
+            its = (counts >= least)[which]
+            live[at[~its]] = False
+            at, which = at[its], which[its]
+            if not len(at):
+                break
         # of neighbouring occurrences every second one, from the left
         run_start = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         place = np.arange(len(at)) - np.repeat(run_start, np.diff(np.r_[run_start, len(at)]))
         at, which = at[place % 2 == 0], which[place % 2 == 0]
+        used = np.flatnonzero(np.bincount(which, minlength=len(kinds)))  # a pair whose occurrences all overlap others makes no rule
+        number = np.zeros(len(kinds), np.int32)
+        number[used] = np.arange(len(used), dtype=np.int32)
+        made = kinds[used]
+        made = np.stack([made >> 32, made & 0xFFFFFFFF], 1).astype(np.int32)
         first = BASE + len(rules)
-        made = np.stack([kinds[good] >> 32, kinds[good] & 0xFFFFFFFF], 1).astype(np.int32)
-        known = np.r_[lengths, np.zeros(len(made), np.int32)]
-        size = lambda s: np.where(s >= BASE, known[np.maximum(s - BASE, 0)], 1)
+        known = np.r_[lengths, np.zeros(1, np.int32)]
+        size = lambda s: np.where(s >= BASE, known[np.maximum(s - BASE, 0)], 1)  # noqa: B023, E731
         rules, lengths = np.r_[rules, made], np.r_[lengths, (size(made[:, 0]) + size(made[:, 1])).astype(np.int32)]
-        seq[at] = first + which
+        seq[at] = first + number[which]
         cut[at] = cut[at + 1]
+        live[at] = True
+        live[at[at > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, cut = seq[keep], cut[keep]
+        seq, cut, live = seq[keep], cut[keep], live[keep]
+        live &= ~cut
     return rules, lengths, seq, np.flatnonzero(cut) + 1
 
 
@@ -117,51 +138,67 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.nd
     k = np.where(is_rule, symbols - BASE, 0)
     sizes = np.where(is_rule, lengths[k] if len(lengths) else 1, 1)
     out = np.repeat(symbols, sizes)
-    inside = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    from_rule = np.repeat(is_rule, sizes)
-    out[from_rule] = flat[(np.repeat(starts[k], sizes) + inside)[from_rule]]
+    out[np.repeat(is_rule, sizes)] = flat[spans(starts[k[is_rule]], sizes[is_rule])]
     return out
 
 
+def expand_some(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The ids that a few symbols stand for, by no other rules than those they need."""
+    while (is_rule := symbols >= BASE).any():
+        at = np.cumsum(1 + is_rule) - (1 + is_rule)
+        out = np.repeat(symbols, 1 + is_rule)
+        pairs = rules[symbols[is_rule] - BASE]
+        out[at[is_rule]], out[at[is_rule] + 1] = pairs[:, 0], pairs[:, 1]
+        symbols = out
+    return symbols
+
+
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """The file table of all documents, written in the shared folder and read again."""
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last = np.array([end], "<u4").tobytes()
 
-    def block(shard: int, k: int, before: int, keys: list, raw: list[bytes]) -> pa.RecordBatch:
-        n = np.array([len(r) // 4 for r in raw], np.int64)
-        rules, lengths, seq, ends = compress(np.frombuffer(b"".join(raw), "<u4"), np.cumsum(n))
-        row = {"shard": [shard], "block": [k], "shard_start": [before], "doc_ids": [keys], "rules": [rules.astype("<i4").tobytes()], "lengths": [lengths.astype("<i4").tobytes()], "symbols": [seq.astype("<i4").tobytes()], "symbol_ends": [ends.tolist()], "n_ids": [n.tolist()]}
-        return row
+    def block(shard: int, k: int, before: int, keys: pa.Array, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        rules, lengths, seq, ends = compress(ids, np.cumsum(n))
+        low = pc.min_max(keys)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        row = {
+            "shard": pa.array([shard], pa.int32()),
+            "block": pa.array([k], pa.int32()),
+            "shard_start": pa.array([before], pa.int64()),
+            "first_id": pa.array([low["min"].as_py()], keys.type),
+            "last_id": pa.array([low["max"].as_py()], keys.type),
+            "doc_ids": listed(keys),
+            "rules": pa.array([rules.astype("<i4").tobytes()]),
+            "lengths": pa.array([lengths.astype("<i4").tobytes()]),
+            "symbols": pa.array([seq.astype("<i4").tobytes()]),
+            "symbol_ends": listed(pa.array(ends.astype(np.int64))),
+            "n_ids": listed(pa.array(n.astype(np.int64))),
+        }
+        return pa.RecordBatch.from_pydict(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        keys, raw, size, k, before, shard, ids_type = [], [], 0, 0, 0, 0, None
-
-        def flush():
-            nonlocal keys, raw, size, k, before
-            row = block(shard, k, before, keys, raw)
-            row["doc_ids"] = pa.array(row["doc_ids"], pa.list_(ids_type))
-            out = pa.RecordBatch.from_pydict(
-                row | {"shard": pa.array(row["shard"], pa.int32()), "block": pa.array(row["block"], pa.int32()), "shard_start": pa.array(row["shard_start"], pa.int64()), "symbol_ends": pa.array(row["symbol_ends"], pa.list_(pa.int64())), "n_ids": pa.array(row["n_ids"], pa.list_(pa.int64()))}
-            )
-            keys, raw, k, before, size = [], [], k + 1, before + size, 0
-            return out
-
-        for b in sliced(batches, text_col, 4_000_000):
-            ids_type, shard = b.column(id_col).type, b.column("shard")[0].as_py()
-            for key, ids in zip(b.column(id_col).to_pylist(), enc.encode(b.column(text_col).to_pylist()), strict=True):
-                keys.append(key)
-                raw.append(ids + last)
-                size += len(ids) // 4 + 1
-                if size >= BLOCK:
-                    yield flush()
+        if enc.tok.get_vocab_size() > BASE or end >= BASE:
+            raise ValueError("the vocabulary reaches into the nonterminals")
+        keys, ids, sizes, size, k, before, shard = [], [], [], 0, 0, 0, 0
+        for b in sliced(batches, text_col, 2_000_000):
+            shard = b.column("shard")[0].as_py()
+            flat, n = enc.encode(b.column(text_col).to_pylist(), end)
+            keys.append(b.column(id_col))
+            ids.append(flat)
+            sizes.append(n)
+            size += len(flat)
+            if size >= BLOCK:
+                yield block(shard, k, before, pa.concat_arrays(keys), np.concatenate(ids), np.concatenate(sizes))
+                keys, ids, sizes, size, k, before = [], [], [], 0, k + 1, before + size
         if keys:
-            yield flush()
+            yield block(shard, k, before, pa.concat_arrays(keys), np.concatenate(ids), np.concatenate(sizes))
 
-    schema = f"shard int, block int, shard_start long, doc_ids array<{kind}>, rules binary, lengths binary, symbols binary, symbol_ends array<long>, n_ids array<long>"
-    ordered = docs.select(id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col, text_col)
+    schema = f"shard int, block int, shard_start long, first_id {kind}, last_id {kind}, doc_ids array<{kind}>, rules binary, lengths binary, symbols binary, symbol_ends array<long>, n_ids array<long>"
+    # by the hash too, so that a doc_id with very many rows is spread over shards
+    some = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("__h"))
+    ordered = some.repartitionByRange(parts, id_col, "__h").sortWithinPartitions(id_col, "__h").drop("__h")
     return written(ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(run, schema), "ids")
 
 
@@ -191,3 +228,30 @@ def read_ids(files: DataFrame, id_type: str = "long", id_col: str = "doc_id", wi
     schema = f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     wide = files.join(F.broadcast(firsts), F.col("shard") == F.col("of_shard"))
     return wide.select("doc_ids", "n_ids", "rules", "lengths", "symbols", "shard_start", "before").mapInArrow(run, schema)
+
+
+def read_documents(files: DataFrame, keys: list, id_col: str = "doc_id") -> DataFrame:
+    """``id_col`` and ids (little-endian unsigned 32-bit) of the documents asked for, by random access.
+
+    Only blocks that may hold one of the keys (a short list) are read, and only the symbols of the
+    documents asked for are expanded.
+    """
+    kind = files.schema["first_id"].dataType.simpleString()
+    wanted = pa.array(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                get = lambda c: b.slice(i, 1).column(c)[0]  # noqa: B023, E731
+                names = get("doc_ids").values
+                at = np.flatnonzero(pc.is_in(names, wanted.cast(names.type)).to_numpy(zero_copy_only=False))
+                ends = get("symbol_ends").values.to_numpy()
+                rules, symbols = np.frombuffer(get("rules").as_buffer(), "<i4").reshape(-1, 2), np.frombuffer(get("symbols").as_buffer(), "<i4")
+                ids = [expand_some(symbols[ends[k - 1] if k else 0 : ends[k]], rules).astype("<u4").tobytes() for k in at.tolist()]
+                if ids:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+
+    some = F.lit(False)
+    for key in keys:
+        some = some | ((F.col("first_id") <= key) & (F.col("last_id") >= key))
+    return files.where(some).select("doc_ids", "rules", "symbols", "symbol_ends").mapInArrow(run, f"`{id_col}` {kind}, ids binary")
