@@ -87,3 +87,17 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, left_day: str,
     near = l2.join(r2, [key, "__c"]).withColumn("offset", F.datediff(right_day, left_day)).where(F.abs("offset") <= days)
     best = near.groupBy(*(F.col(c) for c in left.columns)).agg(F.min(F.struct(F.abs("offset").alias("gap"), "offset", right_day)).alias("b"))
     return best.select(*left.columns, F.col(f"b.{right_day}").alias(right_day), F.col("b.offset").alias("offset"))
+
+
+def column_screen(df: DataFrame, columns: list[str], most_missing: float = 0.85) -> DataFrame:
+    """column, missing (share), n_distinct and dropped: mostly missing or constant columns; one aggregation."""
+    rows = [F.struct(F.lit(c).alias("column"), F.avg(F.col(c).isNull().cast("double")).alias("missing"), F.countDistinct(c).alias("n_distinct")) for c in columns]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r")).withColumn("dropped", (F.col("missing") >= most_missing) | (F.col("n_distinct") <= 1))
+
+
+def feature_defaults(df: DataFrame, c: str, share: float, *keys: str) -> DataFrame:
+    """Median, mean and population deviation (1e-6 at least, 1 where there is none) of the first ``share`` of each key's days."""
+    w = Window.partitionBy(*(keys or (F.lit(0),)))
+    early = df.withColumns({"__i": F.row_number().over(by_day(*keys)), "__n": F.count("*").over(w)}).where(F.col("__i") <= F.floor(F.col("__n") * share))
+    clean = early.withColumn("__v", F.when(F.abs(c) < float("inf"), F.col(c)))
+    return clean.groupBy(*keys).agg(F.coalesce(F.median("__v"), F.lit(0.0)).alias("middle"), F.coalesce(F.avg("__v"), F.lit(0.0)).alias("mean"), F.greatest(F.coalesce(F.stddev_pop("__v"), F.lit(1.0)), F.lit(1e-6)).alias("scale"))
