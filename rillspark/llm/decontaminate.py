@@ -1,23 +1,29 @@
 """Benchmark passages in documents, found by spaced seeds and checked word by word.
 
 Words are lower-cased and lose all but letters and digits; words without any are skipped.
-A window of ``SPAN`` words is cut into four blocks; six fixed masks each ignore two of them.
-Whatever two words of a window are replaced, some mask ignores both, so a window with up to
-``SUBSTITUTIONS`` replaced words always shares a masked hash with its source.
+An item of ``SPAN`` words or more is looked for window by window, each of ``SPAN`` words; a shorter
+one is a single window of all its words.  One rule holds for all sizes: of ``SPAN`` words
+``SUBSTITUTIONS`` may be replaced, of fewer words in proportion, rounded down (one of 7 to 12, none of
+1 to 6).  Inserted and dropped words are not tolerated beyond that.
 
-The hashes of the benchmark fill a bit filter of fixed size.  One scan of the documents keeps
+A window that tolerates k replaced words is cut into k + 2 blocks, and each mask looks at two of
+them and ignores the others.  Whichever words are replaced, some mask ignores them all, so such a
+window always shares a masked hash with its source.
+
+The hashes of the benchmark fill a bit filter of bounded size.  One scan of the documents keeps
 the windows whose hash may be in it; those are joined with the benchmark's windows on the
-hash and compared word by word.  A document is contaminated if a window agrees in all but
-``SUBSTITUTIONS`` words.
+hash and compared word by word.  A seed that very many documents share is dealt over ``SALTS`` keys.
 
-Items of ``SHORTEST`` to ``SPAN - 1`` words count if all their words stand in the document in
-a row; items with fewer words are not looked for.  Null and empty texts, and an empty
-benchmark, give no hits.  Repeated rows give repeated rows.
+An item of very few words is found wherever these stand in a row, which says little of a
+document: ``shortest`` leaves out items of fewer words where a user wants that; by default none is.
+Null and empty texts, and an empty benchmark, give no hits.  Repeated rows give repeated rows,
+repeated items count once (the smallest id stands for them).  Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -30,10 +36,22 @@ from rillspark.llm.common import sliced
 from rillspark.llm.hashing import KEPT_WORDS, P, bit_filter, in_filter, mixed, runs
 from rillspark.session import written
 
-SPAN, SUBSTITUTIONS, SHORTEST = 13, 2, 8
-#: (first word, words) of the blocks of a window, and the blocks that each mask looks at.
-BLOCKS = ((0, 4), (4, 3), (7, 3), (10, 3))
-MASKS = tuple(combinations(range(4), 2))
+SPAN, SUBSTITUTIONS, SALTS = 13, 2, 16
+
+
+def tolerated(size: int) -> int:
+    """Replaced words that a window of so many words tolerates."""
+    return size * SUBSTITUTIONS // SPAN
+
+
+@lru_cache(maxsize=None)
+def layout(size: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(first word, words) of the blocks of a window, and the blocks that each mask looks at."""
+    k = tolerated(size)
+    if not k:
+        return [(0, size)], [(0,)]
+    edges = [-(-size * i // (k + 2)) for i in range(k + 3)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], list(combinations(range(k + 2), 2))
 
 
 class PlainHashes(dict):
@@ -52,89 +70,70 @@ class PlainHashes(dict):
         return h[h != 0]
 
 
-def masked(h: np.ndarray) -> np.ndarray:
-    """masks x windows: the hash of each window's words under each mask."""
-    n = len(h) - SPAN + 1
-    blocks = [runs(h, size)[first : first + n] for first, size in BLOCKS]
-    out = np.empty((len(MASKS), n), np.uint64)
-    for m, mask in enumerate(MASKS):
-        acc = np.full(n, m + 1, np.uint64)
+def masked(h: np.ndarray, size: int) -> np.ndarray:
+    """masks x windows: the hash of each window of ``size`` words under each mask, apart from other sizes and masks."""
+    n = len(h) - size + 1
+    where, masks = layout(size)
+    blocks = [runs(h, words)[first : first + n] for first, words in where]
+    out = np.empty((len(masks), n), np.uint64)
+    for m, mask in enumerate(masks):
+        acc = np.full(n, 64 * size + m + 1, np.uint64)
         for b in mask:
             acc = mixed(acc * P + blocks[b])
         out[m] = acc
     return out.view(np.int64)
 
 
-def whole_key(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words, apart from those of other sizes and of masks."""
-    return mixed(runs(h, size) * P + np.uint64(1000 + size)).view(np.int64)
-
-
-def _words_of(h: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
-    return list(h.astype(np.uint32).view(np.int32)[at[:, None] + np.arange(size)])
-
-
-def _windows(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray | None, short: list[int]) -> DataFrame:
+def _windows(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray | None, sizes: list[int], shortest: int) -> DataFrame:
     """id, place, seed and words of the windows of each text whose seed may be in ``bits``.
 
-    Without ``bits``: of each benchmark item, whole where it is short.
+    Without ``bits``: of each benchmark item.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = PlainHashes()
         for b in sliced(batches, text_col):
-            rows, place, seed, words = [], [], [], []
-
-            def add(i: int, at: np.ndarray, keys: np.ndarray, h: np.ndarray, size: int) -> None:
-                rows.extend([i] * len(at))  # noqa: B023
-                place.append(at)  # noqa: B023
-                seed.append(keys)  # noqa: B023
-                words.extend(_words_of(h, at, size))  # noqa: B023
-
+            rows, place, seed, words, ends = [], [], [], [], [0]
             for i, t in enumerate(b.column(text_col).to_pylist()):
                 h = hashes.of(t)
-                if len(h) >= SPAN:
-                    m = masked(h)
-                    found = np.nonzero(in_filter(bits, m) if bits is not None else np.ones(m.shape, bool))
-                    if len(found[1]):
-                        add(i, found[1], m[found], h, SPAN)
-                for size in short if bits is not None else [len(h)] if SHORTEST <= len(h) < SPAN else []:
+                short = h.astype(np.uint32).view(np.int32)
+                for size in sizes if bits is not None else [min(len(h), SPAN)] if len(h) >= max(shortest, 1) else []:
                     if len(h) >= size:
-                        keys = whole_key(h, size)
-                        at = np.flatnonzero(in_filter(bits, keys)) if bits is not None else np.zeros(1, np.int64)
-                        if len(at):
-                            add(i, at, keys[at], h, size)
+                        m = masked(h, size)
+                        at = np.nonzero(in_filter(bits, m) if bits is not None else np.ones(m.shape, bool))
+                        if len(at[1]):
+                            rows.append(np.full(len(at[1]), i))
+                            place.append(at[1])
+                            seed.append(m[at])
+                            words.append(short[at[1][:, None] + np.arange(size)].ravel())
+                            ends.extend([size] * len(at[1]))
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(id_col).take(pa.array(rows, pa.int64())),
-                        pa.array(np.concatenate(place).astype(np.int64)),
-                        pa.array(np.concatenate(seed)),
-                        pa.array(words, pa.list_(pa.int32())),
-                    ],
-                    names=["id", "place", "seed", "words"],
-                )
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(np.concatenate(words)))
+                yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(place)), pa.array(np.concatenate(seed)), listed], names=["id", "place", "seed", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, place long, seed long, words array<int>")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = 1) -> DataFrame:
     """``id_col``, place, ``item_col``, item_place and substitutions of every window that a document shares."""
-    items = written(_windows(benchmark, item_col, item_text, None, []), "benchmark")
+    items = _windows(benchmark, item_col, item_text, None, [], shortest)
     # one row for each different window, so repeated items multiply nothing
-    items = items.groupBy("seed", "words").agg(F.min(F.struct("id", "place")).alias("i")).select("seed", F.col("words").alias("theirs"), F.col("i.id").alias(item_col), F.col("i.place").alias("item_place"))
-    short = [r[0] for r in items.select(F.size("theirs").alias("n")).distinct().collect() if r[0] < SPAN]  # five sizes at most
-    found = written(_windows(docs, id_col, text_col, bit_filter(items.select("seed"), "seed"), sorted(short)), "windows")
-    pairs = found.join(items, "seed").where(F.size("words") == F.size("theirs"))
+    items = written(
+        items.groupBy("seed", "words").agg(F.min(F.struct("id", "place")).alias("i")).select("seed", F.col("words").alias("theirs"), F.col("i.id").alias(item_col), F.col("i.place").alias("item_place")), "benchmark"
+    )
+    sizes = sorted(r[0] for r in items.select(F.size("theirs").alias("n")).distinct().collect())  # SPAN at most
+    found = written(_windows(docs, id_col, text_col, bit_filter(items.select("seed"), "seed"), sizes, shortest), "windows")
+    salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = found.withColumn("salt", F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"]).where(F.size("words") == F.size("theirs"))
     wrong = F.size(F.filter(F.zip_with("words", "theirs", lambda a, b: a != b), lambda x: x))
     checked = pairs.select(F.col("id").alias(id_col), "place", item_col, "item_place", wrong.alias("substitutions"), F.size("words").alias("n"))
-    return checked.where((F.col("substitutions") <= SUBSTITUTIONS) & ((F.col("n") == SPAN) | (F.col("substitutions") == 0))).drop("n")
+    return checked.where(F.expr(f"substitutions <= n * {SUBSTITUTIONS} div {SPAN}")).drop("n")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = 1) -> DataFrame:
     """``id_col``, contaminated, n_windows, ``item_col`` (the smallest of those found) and substitutions (fewest) of every row."""
-    found = hits(docs, benchmark, id_col, text_col, item_col, item_text)
+    found = hits(docs, benchmark, id_col, text_col, item_col, item_text, shortest)
     # a document's windows are merged place by place first: the same place comes up for each mask and item
     by_place = found.groupBy(id_col, "place").agg(F.min(item_col).alias(item_col), F.min("substitutions").alias("substitutions"))
     per_doc = by_place.groupBy(id_col).agg(F.count("*").alias("n_windows"), F.min(item_col).alias(item_col), F.min("substitutions").alias("substitutions"))

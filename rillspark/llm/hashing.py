@@ -42,18 +42,28 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
-#: Bits of a filter: 4 MB of them in all, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: Fewest and most bits of a filter: 4 MB to 32 MB of them in all, whatever the number of keys.
+FILTER_BITS, MOST_BITS = 1 << 25, 1 << 28
+
+
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return keys & np.int64(bits - 1), (keys >> np.int64(29)) & np.int64(bits - 1)
 
 
 def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """Bits at the last bits of all keys (signed 64-bit hashes), for :func:`in_filter`.
+    """Two bits for each of the keys (signed 64-bit hashes), for :func:`in_filter`.
 
-    A fixed size whatever the input: at most ``FILTER_BITS`` / 32768 rows of 4 KB come to the driver.
+    About 16 bits a key between the two sizes above; more keys than that let more through, which
+    costs work and never a result.  At most ``MOST_BITS`` / 32768 rows of 4 KB come to the driver.
     """
-    place = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1
-    rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    n = keys.count()
+    size = FILTER_BITS
+    while size < MOST_BITS and size < 16 * n:
+        size *= 2
+    both = F.array(F.col(key), F.expr(f"shiftright(`{key}`, 29)"))
+    place = keys.select(F.explode(both).alias("k")).select((F.pmod("k", F.lit(size)) + 1).alias("p"))
+    rows = place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:  # bucket k holds the values 32768 (k - 1) + 1 .. 32768 k
         p0 = 4096 * (r["bucket"] - 1)
         out[p0 : p0 + 4096] = np.frombuffer(bytes(r["bits"]).ljust(4096, b"\0"), np.uint8)
@@ -62,5 +72,9 @@ def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each signed 64-bit key may be among the keys of the filter; never false for one that is."""
-    p = keys & np.int64(FILTER_BITS - 1)
-    return (bits[p >> np.int64(3)] >> (p & np.int64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    get = lambda p: (bits[p >> np.int64(3)] >> (p & np.int64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    one, two = _places(keys, 8 * len(bits))
+    out = get(one)
+    at = np.nonzero(out)
+    out[at] = get(two[at])
+    return out
