@@ -49,8 +49,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality.judged(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", *cols)
+    return quality.judged(_docs(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_html, op3_shards, op4_token_counts, op5_lm_scores, op6_packing, op7_near_dup, op8_token_files, op9_decontaminate, op10_quality)}
