@@ -11,7 +11,7 @@ from rillspark.session import removed, tables_so_far, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the cascade."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
