@@ -57,3 +57,29 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -
     )
     between = lambda i, q: F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * (rank(q) - F.floor(rank(q)))
     return out.select(*keys, *(between(i, q).alias(name) for i, (name, q) in enumerate(shares.items())))
+
+
+def lower_tail_mean(df: DataFrame, value: str, share: float, *keys: str) -> DataFrame:
+    """keys and ``tail``: the mean of the lowest ``max(1, floor(share * n))`` values of each key.
+
+    From counts of equal values and their running sums: no row is numbered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("n"))
+    placed = running(counts, "__v", ["n"], *keys)
+    sizes = counts.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.sum("n") * share)).alias("__k"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = placed.alias("a").join(sizes.alias("b"), same).drop(*(F.col(f"b.{k}") for k in keys))
+    taken = F.least(F.col("n"), F.col("__k") - F.col("before_n"))
+    return both.where("before_n < __k").groupBy(*keys).agg((F.sum(F.col("__v") * taken) / F.max("__k")).alias("tail"))
+
+
+def running_max(df: DataFrame, order: str, value: str, inclusive: bool = True) -> DataFrame:
+    """``df`` (distinct ``order``) with ``top``: the highest ``value`` up to each row, over ranges first and inside them then."""
+    parts = df.withColumn("__range", ranged(df, order))
+    tops = parts.groupBy("__range").agg(F.max(value).alias("__top"))
+    # a row for each range
+    before = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    inside = F.max(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    return parts.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn("top", F.greatest("__inside", "__before")).drop("__range", "__inside", "__before")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.operators.quantiles import running_max
+
 
 def top_of_each(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each key; Spark limits each task's groups before the shuffle."""
@@ -24,13 +26,8 @@ def skyline(df: DataFrame, low: str, high: str) -> DataFrame:
     """Rows that no other row beats with a smaller ``low`` and a larger ``high`` (one strictly).
 
     Rows are reduced to the best ``high`` of each ``low``; the running maximum of those, over
-    ranges of ``low`` first and inside a range then, decides.  No pair of rows is compared.
+    ranges of ``low`` (bounds on the driver, 63 at most) first and inside a range then, decides.  No pair of rows is compared.
     """
     best = df.groupBy(F.col(low).alias("__low")).agg(F.max(high).alias("__high"))
-    parts = best.repartitionByRange(F.col("__low")).withColumn("__part", F.spark_partition_id())
-    tops = parts.groupBy("__part").agg(F.max("__high").alias("__top"))
-    # a row for each partition
-    before = tops.select("__part", F.max("__top").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    inside = F.max("__high").over(Window.partitionBy("__part").orderBy("__low").rowsBetween(Window.unboundedPreceding, -1))
-    front = parts.withColumn("__inside", inside).join(F.broadcast(before), "__part").where(F.coalesce(F.greatest("__inside", "__before") < F.col("__high"), F.lit(True)))
-    return df.join(front.select(F.col("__low"), F.col("__high")), (F.col(low) == F.col("__low")) & (F.col(high) == F.col("__high")), "left_semi")
+    front = running_max(best, "__low", "__high", inclusive=False).where(F.coalesce(F.col("top") < F.col("__high"), F.lit(True)))
+    return df.join(front.select("__low", "__high"), (F.col(low) == F.col("__low")) & (F.col(high) == F.col("__high")), "left_semi")

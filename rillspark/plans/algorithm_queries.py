@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.functions import scores
-from rillspark.operators import blocks, measures, mechanism, ranking
+from rillspark.operators import blocks, measures, mechanism, quantiles, ranking
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -27,7 +27,7 @@ _Q = "WITH q AS (SELECT quantile_cont(l_quantity, CAST(0.1 AS DOUBLE)) AS a, qua
 
 
 def _scored(t: Tables):
-    q = t(L).agg(*(F.percentile("l_quantity", F.lit(v)).alias(k) for k, v in (("a", 0.1), ("b", 0.5), ("c", 0.9))))
+    q = quantiles.quantiles(t(L), "l_quantity", {"a": 0.1, "b": 0.5, "c": 0.9})  # one row
     v = F.col("l_quantity")
     return t(L).crossJoin(F.broadcast(q)).withColumns({"hi": scores.quantile_score(v, F.col("b"), F.col("c")), "lo": scores.inverse_quantile_score(v, F.col("a"), F.col("b"))})
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillspark.functions import scores
-from rillspark.operators import graph, measures, ranking, series
+from rillspark.operators import graph, measures, quantiles, ranking, series
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -41,12 +41,13 @@ def correlations_topk(t: Tables):
 
 @BOOK.query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, CAST(0.1 AS DOUBLE)), 6) AS q10, round(quantile_cont(l_extendedprice, CAST(0.5 AS DOUBLE)), 6) AS q50, round(quantile_cont(l_extendedprice, CAST(0.9 AS DOUBLE)), 6) AS q90 FROM lineitem GROUP BY 1")
 def quantile_interp(t: Tables):
-    return t(L).groupBy("l_returnflag").agg(*(F.round(F.percentile("l_extendedprice", F.lit(q / 100)), 6).alias(f"q{q}") for q in (10, 50, 90)))
+    q = quantiles.quantiles(t(L), "l_extendedprice", {f"q{k}": k / 100 for k in (10, 50, 90)}, "l_returnflag")
+    return q.select("l_returnflag", *(F.round(f"q{k}", 6).alias(f"q{k}") for k in (10, 50, 90)))
 
 
 @BOOK.query("WITH q AS (SELECT quantile_cont(l_quantity, CAST(1 AS DOUBLE) / 3) AS a, quantile_cont(l_quantity, CAST(2 AS DOUBLE) / 3) AS b FROM lineitem) SELECT CASE WHEN l_quantity <= a THEN 'low' WHEN l_quantity <= b THEN 'mid' ELSE 'high' END AS label, count(*) AS n FROM lineitem, q GROUP BY 1")
 def tertile_label(t: Tables):
-    q = t(L).agg(F.percentile("l_quantity", F.lit(1 / 3)).alias("a"), F.percentile("l_quantity", F.lit(2 / 3)).alias("b"))
+    q = quantiles.quantiles(t(L), "l_quantity", {"a": 1 / 3, "b": 2 / 3})  # one row
     return t(L).crossJoin(F.broadcast(q)).groupBy(scores.tertile(F.col("l_quantity"), F.col("a"), F.col("b")).alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -174,9 +175,8 @@ def pareto_front(t: Tables):
 
 @BOOK.query("WITH s AS (SELECT p_retailprice AS x, max(p_size) AS y FROM part GROUP BY 1) SELECT x, CAST(max(y) OVER (ORDER BY x) AS BIGINT) AS envelope FROM s")
 def running_max_envelope(t: Tables):
-    # a row for each price: prices are a bounded list here
     s = t("part").groupBy(F.col("p_retailprice").alias("x")).agg(F.max("p_size").alias("y"))
-    return s.select("x", F.max("y").over(Window.orderBy("x")).cast("long").alias("envelope"))
+    return quantiles.running_max(s, "x", "y").select("x", F.col("top").cast("long").alias("envelope"))
 
 
 @BOOK.query("WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT a.p_brand AS a, b.p_brand AS b, greatest(a.n, b.n) AS top FROM b a JOIN b ON a.p_brand < b.p_brand")
@@ -254,9 +254,7 @@ def transitions(t: Tables):
 
 @BOOK.query("WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderpriority, round(avg(o_totalprice), 4) AS cvar FROM r WHERE k <= greatest(1, floor(n * CAST(0.1 AS DOUBLE))) GROUP BY 1")
 def cvar_tail(t: Tables):
-    w = Window.partitionBy("o_orderpriority")
-    r = t("orders").withColumns({"k": F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")), "n": F.count("*").over(w)})
-    return r.where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))).groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("cvar"))
+    return quantiles.lower_tail_mean(t("orders"), "o_totalprice", 0.1, "o_orderpriority").select("o_orderpriority", F.round("tail", 4).alias("cvar"))
 
 
 @BOOK.query("SELECT f AS flag, round(sum(l_extendedprice * w) / sum(w), 4) AS score FROM (SELECT l_returnflag AS f, l_extendedprice, CASE WHEN l_discount > 0 THEN l_discount ELSE 1 END AS w FROM lineitem) GROUP BY 1")
@@ -297,7 +295,7 @@ SELECT CAST(a AS BIGINT) AS node, CAST(m AS BIGINT) AS label FROM e JOIN r USING
 )
 def label_propagation(t: Tables):
     e = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 100).cast("long").alias("b")).distinct()
-    return graph.spread_labels(e, "a", "b", 2)
+    return graph.spread_labels(e, "a", "b")
 
 
 @BOOK.query("WITH d AS (SELECT l_suppkey AS node, count(*) AS degree FROM lineitem GROUP BY 1) SELECT node, degree FROM d ORDER BY degree DESC, node LIMIT 10")

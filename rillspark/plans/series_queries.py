@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.functions import scores
-from rillspark.operators import measures, series
+from rillspark.operators import measures, quantiles, series
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -36,7 +36,7 @@ SELECT user_id, CAST(day AS VARCHAR) AS day, round(value, 6) AS value, round(sum
 )
 def daily_station_profile(t: Tables):
     d = _stations(t)
-    q = d.agg(F.percentile("value", F.lit(1 / 3)).alias("a"), F.percentile("value", F.lit(2 / 3)).alias("b"))  # one row
+    q = quantiles.quantiles(d, "value", {"a": 1 / 3, "b": 2 / 3})  # one row
     return d.crossJoin(F.broadcast(q)).select(
         "user_id",
         _day(),
