@@ -20,7 +20,7 @@ SCORES = {
 #: What counts as a driver, at its threshold or above; and flushing below its own.
 DRIVERS = ("rain_3d", "rain_7d", "bed_shear_proxy", "resuspension_potential", "air_temp")
 #: Evidence phrases in their order, with the digits of the value.
-PHRASES = (("rain_3d", "3-day rain over threshold", 4), ("rain_7d", "7-day rain over threshold", 4), ("bed_shear_proxy", "bed shear over threshold", 4), ("resuspension_potential", "resuspension over threshold", 4), ("air_temp", "warm air over threshold", 4))
+PHRASES = (("rain_3d", "3-day rain over threshold", 1), ("rain_7d", "7-day rain over threshold", 1), ("bed_shear_proxy", "bed shear over threshold", 3), ("resuspension_potential", "resuspension over threshold", 1), ("air_temp", "warm air over threshold", 1))
 QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 #: What is advised for each scenario.
 PLAYBOOK = {
