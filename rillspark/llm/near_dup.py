@@ -9,12 +9,14 @@ buckets: two sets at a similarity of 0.8 share no bucket with a chance of 3e-7.
 1. One scan makes for each document the key of its shingle set, the set's size, the bands
    and four bits of each value.  Documents with one set are one class from here on, however
    many they are; its smallest doc_id stands for it.
-2. In each bucket every member is paired with one hub, never with all others.  The pairs
+2. Of buckets with the same members one is kept.  In each bucket every member is paired with one hub, never with all others.  The pairs
    are checked on full shingle sets, and links make components.
 3. Buckets that still span several components get two more rounds with other hubs.
-4. What is left in such buckets is checked across components only, inside the join: sizes,
-   then four bits of each value (a pair at 0.8 fails that with a chance under 1e-7), then the
-   full sets.  The join makes rows of links alone; no bucket is left unexamined or capped.
+4. What is left in such buckets is checked across components only: members outside a bucket's
+   largest component meet all members, chunk by chunk, so that a hot bucket is many tasks.
+   Inside the join come sizes, then four bits of each value (a pair at 0.8 fails that with a
+   chance under 1e-7), then the full sets.  The join makes rows of links alone; no bucket is left
+   unexamined or capped.
 
 Shingle sets are made anew for members of shared buckets alone, found by a bit filter of
 fixed size.  All intermediate tables are written to the shared folder.
@@ -44,6 +46,8 @@ PERMUTATIONS, ROWS, BANDS = 96, 5, 38
 SEED = 20240229
 #: Values, of 192, that must agree in four bits: 5.5 standard deviations under what 0.8 leads to.
 AGREE_AT_80 = 126
+#: Members of a bucket that one task compares with those outside its largest component.
+CHUNK = 2000
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +143,11 @@ def near_components(docs: DataFrame, size: int, id_col: str = "doc_id", text_col
     reps = written(table.where("key is not null and id is not null").groupBy("key").agg(first).select("key", "r.*"), "classes")
 
     bucket = reps.select("id", F.explode("bands").alias("bucket"))
-    hubs = bucket.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    members = written(bucket.join(hubs.select("bucket", "hub"), "bucket"), "members")
+    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"same{k}") for k in (0, 1)]
+    hubs = bucket.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("n"), *same).where("hub < last")
+    # near copies share many bands: of buckets with the same members (by 128 bits) one is enough
+    once = hubs.groupBy("hub", "last", "n", "same0", "same1").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
+    members = written(bucket.join(once, "bucket"), "members")
     sets = written(
         shingle_sets(docs, id_col, text_col, size, bit_filter(members.select(F.xxhash64("id").alias("h")), "h")), "sets"
     )
@@ -179,16 +186,19 @@ def near_components(docs: DataFrame, size: int, id_col: str = "doc_id", text_col
         labels = merged(new)
 
     now = written(labelled(), "open")
-    spanning = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
+    parts = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("n_parts"), F.sum("n").alias("n"))
+    spanning = written(parts.where("n_parts > 1").select("bucket", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "spanning")
     longs = 2 * PERMUTATIONS // 16
     flat = reps.select("id", "n_shingles", *(F.col("bits")[i].alias(f"b{i}") for i in range(longs)))
     left = now.join(spanning, "bucket").join(flat, "id").join(sets, "id")
-    x, y = left.alias("x"), left.alias("y")
+    # members outside a bucket's largest component meet all of it, chunk by chunk
+    x = left.where("component != main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("x")
+    y = left.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("y")
     # a chance agreement of four bits is one in sixteen
     need = round(192 * (1 / 16 + 15 / 16 * percent / 100) - 192 * (1 / 16 + 15 / 16 * 0.8) + AGREE_AT_80)
     # cheap tests first; the full sets are compared inside the join, so that it makes rows of links alone
     alike = F.expr(
-        f"x.bucket = y.bucket and x.id < y.id and x.component != y.component and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
+        f"x.bucket = y.bucket and x.chunk = y.chunk and x.component != y.component and (y.component = y.main or x.id < y.id) and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
         f" and {_agreeing('x.b', 'y.b', longs)} >= {need} and {100 + percent} * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n_shingles + y.n_shingles)"
     )
     new = written(x.join(y, alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "links")
