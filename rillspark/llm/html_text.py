@@ -4,7 +4,8 @@ A page is read as a sequence of words and tags.  Each has a score, a log-odds we
 labelled pages: words inside running text score positive; tags, and words inside menus,
 links, forms, notices, adverts and the like, score negative.  One linear scan finds the
 contiguous run with the highest sum (the first of equal ones).  Its words, without
-those of an element inside it that is marked as page furniture, are the text.
+those of an element inside it that is page furniture, are the text.  Furniture is told by its tag
+or role, or by the weights of the words of its class and id, which the labelled pages give too.
 
 A furniture element counts as one cost with all it holds.  Below ``article`` or ``main``, or
 nested in another element on a page that has neither, that is the learned cost of one tag, so
@@ -17,7 +18,8 @@ size.  All pages are scanned whole.
 
 Character references are decoded; white space inside a block becomes one space; blocks
 follow in page order with one newline between.  Null, empty and text-free pages give the
-empty text.  Repeated rows give repeated rows.
+empty text.  Repeated rows give repeated rows.  Columns but those named in ``keep`` are not read.  The
+scan is linear in a page's length, also where tags are never closed.
 """
 
 from __future__ import annotations
@@ -47,11 +49,9 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "body", "html", "head", "dt", "dd", "li"}
 FURNITURE = frozenset("nav footer aside form button dialog menu head fieldset label input".split())
 
-# Names by which pages mark what is not the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|foot|masthead|comments?|replies|reply|respond|discussion|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|overlay|skip|pagination|pager|toolbar|copyright|legal|hidden|tags|byline-links)(?=$|[\s_\d-])",
-    re.I,
-)
+# Names by which the labelled pages mark what is not the article, and names of its own parts.
+ASIDE_NAMES = "ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead comment comments replies reply respond discussion disqus share sharing social related recommended newsletter subscribe signup login search popup modal overlay skip pagination pager toolbar copyright legal hidden tags".split()
+OWN_NAMES = "article post story content entry body text main page news print detail section lead chapter item block".split()
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -59,28 +59,48 @@ ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=\s|/|$)", re.S)
 
 
-def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element says by its name, class, id or role that it is not the article."""
+@lru_cache(maxsize=100_000)
+def name_tokens(value: str) -> tuple[str, ...]:
+    """Words of a class or id: split at marks, digits and inner capitals."""
+    return tuple(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower().replace("_", " ").translate(_NO_MARKS).split())
+
+
+_NO_MARKS = str.maketrans({c: " " for c in "-.:/|,;#0123456789"})
+#: Names of elements that are looked at together weigh less than this: furniture.
+NAMED_BELOW = -1.0
+
+
+def furniture_kind(tag: str, attributes: str, inside_article: bool, names: dict[str, float]) -> str:
+    """``tag`` if an element is furniture by its tag or role, ``name`` if by the learned weights of its class and id, else empty."""
     if tag in FURNITURE or tag == "header" and not inside_article:
-        return True
+        return "tag"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    weight = 0.0
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
-        if hidden or name in ("class", "id") and MARKED.search(value) or name == "role" and value.lower() in ROLES:
-            return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if hidden or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return "tag"
+        if name in ("class", "id"):
+            weight += sum(names.get(w, 0.0) for w in name_tokens(value))
+    return "name" if weight < NAMED_BELOW else ""
 
 
-def events(page: str) -> Iterator[tuple[str, str, int, tuple[str, int] | None]]:
+def events(page: str, names: dict[str, float], trusted: frozenset[int] = frozenset()) -> Iterator[tuple[str, str, int, tuple[str, int] | None]]:
     """(kind, what, words, element) in page order: kinds are ``tag``, ``text`` and ``furniture`` (text inside it).
 
     ``what`` of a text is the raw text; of a tag, its class for scoring.  ``element`` is the
-    place and number of the outermost furniture that the event belongs to.
+    place and number of the outermost furniture that the event belongs to; an element that is furniture
+    by its names alone has a place that ends in ``?``, and is none if its number is trusted.
     """
     at, stack = 0, []  # of open elements: (tag, outermost furniture here or above)
+    open_tags: Counter = Counter()
+
+    def close(i: int) -> None:
+        for t, _ in stack[i:]:
+            open_tags[t] -= 1
+        del stack[i:]
+
     number, plain = 0, not ARTICLE.search(page)
     depth_article = 0
     raw_end = None
@@ -103,12 +123,13 @@ def events(page: str) -> Iterator[tuple[str, str, int, tuple[str, int] | None]]:
         if not tag:
             continue
         if closing:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            # only what is open is searched for, and what is passed over is closed: linear in all
+            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_tags[tag] else None
             marked = stack[-1][1] if stack else None
             if open_at is not None:
                 marked = stack[open_at][1]
                 depth_article -= sum(t in ("article", "main") for t, _ in stack[open_at:])
-                del stack[open_at:]
+                close(open_at)
             yield ("tag", "/" + tag, 0, marked)
             continue
         if tag in RAW:
@@ -118,17 +139,17 @@ def events(page: str) -> Iterator[tuple[str, str, int, tuple[str, int] | None]]:
             at = raw_end.end() if raw_end else len(page)
             yield ("tag", "/" + tag, 0, marked)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        if tag == "li":
+        if tag == "li" and open_tags["li"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "li":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in ("ul", "ol", "menu"):
                     break
@@ -136,10 +157,12 @@ def events(page: str) -> Iterator[tuple[str, str, int, tuple[str, int] | None]]:
         if tag not in VOID and not attributes.rstrip().endswith("/"):
             place = "article" if depth_article else "nested" if plain and stack and stack[-1][0] not in ("html", "body") else "top"
             depth_article += tag in ("article", "main")
-            if not marked and is_furniture(tag, attributes, depth_article > 0):
+            if not marked and (how := furniture_kind(tag, attributes, depth_article > 0, names)):
                 number += 1
-                marked = (place, number)
+                if number not in trusted:
+                    marked = (place + "?" * (how == "name"), number)
             stack.append((tag, marked))
+            open_tags[tag] += 1
         yield ("tag", tag, 0, marked)
 
 
@@ -165,11 +188,31 @@ def labelled_pages(n: int = LABELLED, seed: int = 20240501) -> list[tuple[str, t
         article = opening + body + closing
         before = r.choice((f"<nav><ul>{links(r.randint(3, 12))}</ul></nav>", f'<div class="menu">{links(5)}</div>', f"<header><a href='/'>{word()}</a><p>{prose(2, 5)}</p></header>")) + r.choice(("", f'<div class="ad">{prose(3, 14)}</div>', f'<div class="cookie-notice">{prose(5, 20)}</div>', f"<form><label>{word()}</label><input><button>{word()}</button></form>"))
         after = r.choice(("", f"<aside class='sidebar'><p>{prose(5, 25)}</p><ul>{links(4)}</ul></aside>", f"<div class='comments'><p>{prose(5, 30)}</p><p>{prose(5, 30)}</p></div>")) + f"<footer>&copy; {word()} &middot; {prose(2, 12)}</footer>"
+        named = lambda inner: "".join(f'<div class="{q.choice(ASIDE_NAMES)}{q.choice(("", "-box", " box", "_" + word()))}">{word()} {word()}</div>' for _ in range(inner))  # noqa: B023, E731
+        before, after = before + named(q.randint(2, 5)), named(q.randint(2, 5)) + after
+        article = "".join(f'<span class="{q.choice(OWN_NAMES)}{q.choice(("", "-" + word(), " " + word()))}"></span>' for _ in range(q.randint(3, 8))) + article
         head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{prose(3, 9)}</title><style>p{{}}</style><script>var a="</p>";</script></head><body>{before}'
         out.append((f"{head}{article}{after}</body></html>", (len(head), len(head) + len(article))))
     return out
 
 
+@lru_cache(maxsize=1)
+def trained_names() -> dict[str, float]:
+    """Log-odds of words of classes and ids: inside the article, or around it, against outside; with add-one smoothing."""
+    inside: Counter = Counter()
+    outside: Counter = Counter()
+    for page, (a, b) in labelled_pages():
+        for m in TOKEN.finditer(page):
+            for name, x, y, z, _ in ATTRIBUTE.findall(m[3] or ""):
+                if name.lower() in ("class", "id"):
+                    # furniture inside an article is furniture: labelled by its names there too
+                    words = name_tokens(x or y or z)
+                    mine = a <= m.start() < b and not (m[2] or "").lower() in FURNITURE and not any(w in ASIDE_NAMES for w in words)
+                    (inside if mine else outside).update(words)
+    known = {w for w in inside.keys() | outside.keys() if inside[w] + outside[w] >= 5}
+    return {w: math.log((inside[w] + 1) / (outside[w] + 1)) for w in sorted(known)}
+
+
 @lru_cache(maxsize=1)
 def trained_weights() -> dict[tuple[str, str], float]:
     """Log-odds of lying inside the article, with add-one smoothing, for tags and kinds of words.
@@ -179,14 +222,16 @@ def trained_weights() -> dict[tuple[str, str], float]:
     """
     inside: Counter = Counter()
     outside: Counter = Counter()
+    names = trained_names()
     for page, (a, b) in labelled_pages():
         for part, where in ((page[:a], outside), (page[a:b], inside), (page[b:], outside)):
             known: set[tuple[str, int]] = set()
-            for kind, what, n, element in events(part):
+            for kind, what, n, element in events(part, names):
+                place = element[0].rstrip("?") if element else ""
                 if element and element not in known:
                     known.add(element)
-                    where["element", element[0]] += 1
-                if element and element[0] != "top":
+                    where["element", place] += 1
+                if element and place != "top":
                     continue
                 if kind == "tag":
                     where["tag", what.lstrip("/")] += 1
@@ -211,11 +256,16 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return best
 
 
-def main_text(page: str | None, weights: dict[tuple[str, str], float] | None = None) -> str:
-    if not page:
-        return ""
-    w = weights or trained_weights()
-    seen = list(events(page))
+def whole_pages(seen: list[tuple[str, str, int, tuple[str, int] | None]]) -> frozenset[int]:
+    """Numbers of elements that are furniture by their names alone, and yet hold an article: ``article`` or ``main``, or a first heading and three paragraphs."""
+    held: dict[int, Counter] = {}
+    for kind, what, _, element in seen:
+        if kind == "tag" and element and element[0].endswith("?"):
+            held.setdefault(element[1], Counter())[what] += 1
+    return frozenset(k for k, tags in held.items() if tags["article"] or tags["main"] or tags["h1"] and tags["p"] >= 3)
+
+
+def _chosen(seen: list[tuple[str, str, int, tuple[str, int] | None]], w: dict[tuple[str, str], float]) -> str:
     other_tag, none = -0.2, 0.0
     scores = [w.get(("tag", what.lstrip("/")), other_tag) if kind == "tag" else w.get((kind, ""), none) * n for kind, what, n, _ in seen]
     # an element's cost stands at its first event
@@ -226,6 +276,7 @@ def main_text(page: str | None, weights: dict[tuple[str, str], float] | None = N
             scores[at] += scores[i]
             scores[i] = 0.0
     for (place, _), at in first.items():
+        place = place.rstrip("?")
         scores[at] = max(scores[at], most) if place == "top" else w.get(("element", place), other_tag)
     a, b = best_run(scores)
     blocks, now = [], []
@@ -243,14 +294,35 @@ def main_text(page: str | None, weights: dict[tuple[str, str], float] | None = N
     return "\n".join(x for x in lines if x)
 
 
+def main_text(page: str | None, weights: dict[tuple[str, str], float] | None = None, names: dict[str, float] | None = None) -> str:
+    """The article of a page.  Names alone never empty a page: an element that holds an article is read as one,
+    and where nothing else is left, the named element with the most words is."""
+    if not page:
+        return ""
+    w, names = weights or trained_weights(), names or trained_names()
+    seen = list(events(page, names))
+    trusted = whole_pages(seen)
+    if trusted:
+        seen = list(events(page, names, trusted))
+    text = _chosen(seen, w)
+    if not text:
+        sizes: Counter = Counter()
+        for _, _, n, element in seen:
+            if element and element[0].endswith("?"):
+                sizes[element[1]] += n
+        if sizes:
+            text = _chosen(list(events(page, names, trusted | {max(sizes, key=lambda k: (sizes[k], -k))})), w)
+    return text
+
+
 def main_texts(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, text and n_chars of every row."""
-    weights = trained_weights()
+    weights, names = trained_weights(), trained_names()
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, html_col):
-            texts = [main_text(x, weights) for x in b.column(html_col).to_pylist()]
+            texts = [main_text(x, weights, names) for x in b.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     return pages.select(*keep, html_col).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", text string, n_chars long")
