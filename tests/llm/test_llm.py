@@ -211,6 +211,42 @@ def test_long_furniture_does_not_split_an_article(opening, closing, furniture):
     assert html_text.main_text(page) == "\n".join((n(6, "head"), n(20, "lead"), n(300, "text"), n(20, "tail"), n(6, "last")))
 
 
+@pytest.mark.parametrize("wrap", ["<div class='social-science'>{}</div>", "<div id='share-price-news'>{}</div>", "<div class='article hidden-print'>{}</div>", "<div class='comments'>{}</div>", "<section class='menu'><main>{}</main></section>"])
+def test_names_never_empty_a_page(wrap):
+    body = f"<h1>Some title</h1><p>{'one two ' * 20}</p><p>{'three four ' * 9}</p><p>last words</p>"
+    page = f"<html><head><title>no</title></head><body><nav><a href=x>menu</a></nav>{wrap.format(body)}<footer>me</footer></body></html>"
+    assert html_text.main_text(page).split("\n")[0] == "Some title" and html_text.main_text(page).endswith("last words")
+    short = f"<html><body>{wrap.format('<p>only these words stand here</p>')}<footer>me</footer></body></html>"
+    assert html_text.main_text(short) == "only these words stand here"
+
+
+def test_names_are_learned():
+    names = html_text.trained_names()
+    assert all(names.get(w, 0) < -1 for w in html_text.ASIDE_NAMES) and all(names.get(w, 0) > 1 for w in html_text.OWN_NAMES)
+    assert html_text.name_tokens("mainContent-2_box") == ("main", "content", "box")
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_text("<div><span>" + "<b>x <i>y </u></em>" * n + "<p>word " * n)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16000) < 12 * max(took(4000), 0.02)
+
+
+def test_pages_of_any_shape(spark):
+    kind = "page_id long, url string, html string, text string, n_chars int"
+    long = "<p>" + "word " * 200_000 + "</p>"
+    rows = [(1, "u", long, "x", 1), (2, "u", "no tags at all", None, None), (3, "u", "<script>var a = '<p>no</p>'</script>", "x", 1), (3, "u", "<div>&lt;p&gt; &amp;</div>", "x", 1)]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.main_texts(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(1, ("word " * 200_000).strip(), 999_999), (2, "no tags at all", 14), (3, "", 0), (3, "<p> &", 5)]
+    assert html_text.main_texts(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_best_run_against_all_runs():
     r = random.Random(2)
     for _ in range(100):
@@ -221,7 +257,9 @@ def test_best_run_against_all_runs():
 
 def test_pages_of_the_generator(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    for r, text in ((r, {x.page_id: x.text for x in html_text.main_texts(pages).collect()}[r.page_id]) for r in pages.limit(5).collect()):
+    texts = {x.page_id: x.text for x in html_text.main_texts(pages).collect()}
+    for r in pages.collect():
+        text = texts[r.page_id]
         body = re.search("<article>(.*)</article>", r.html, re.S)[1]
         blocks = (" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1|h2|li|ul|div)\b[^>]*>", re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", body.replace("<br>", " "))))
         assert text == "\n".join(x for x in blocks if x)
@@ -399,6 +437,48 @@ def test_near_components(docs, texts, nothing, size):
     assert near_dup.near_components(nothing, size).count() == 0
 
 
+def all_links(texts, size, percent=80):
+    """doc -> smallest doc reachable, by all pairs of full sets."""
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if (w := WORD.findall(lower(t))) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_a_cluster_around_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK", 7)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(110):  # pairs from 0.6 to 0.9: some are linked, many share buckets and are not
+        w = list(base)
+        for k in r.sample(range(150), r.randint(3, 9)):
+            w[k] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in near_dup.near_components(docs, 2).collect()}
+    want = all_links(texts, 2)
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < 100
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    kind = "doc_id long, text string, id string, key int, bits string, bucket int, component string, kept int"
+    d = spark.createDataFrame([(1, "a b c d", "x", 1, "y", 2, "z", 3), (1, "a b c d", "x", 1, "y", 2, "z", 3), (2, "A B C D", "x", 1, "y", 2, "z", 3), (None, "a b c d", None, None, None, None, None, None), (3, None, "x", 1, "y", 2, "z", 3)], kind)
+    got = sorted(map(tuple, near_dup.near_components(d, 2).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, None, True), (3, 0, 3, True)], key=str)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
