@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.operators import formulas, measures, series, site, triage, whatif
-from rillspark.operators.quantiles import quantiles
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
