@@ -113,3 +113,18 @@ def subgraph(near: DataFrame, keys: DataFrame, budget: int) -> tuple[DataFrame,
     chosen = cited.unionByName(around).join(degree, "node").orderBy("tier", F.desc("k"), "node").limit(budget)
     ends = near.where("node < to").join(F.broadcast(chosen.select("node", F.lit(1).alias("x"))), "node", "left").join(F.broadcast(chosen.select(F.col("node").alias("to"), F.lit(1).alias("y"))), "to", "left")
     return chosen, ends.where("x = 1 or y = 1").select(F.col("node").alias("u"), F.col("to").alias("v"), (F.coalesce(F.col("x") + F.col("y"), F.lit(0)) == 2).alias("inside"))
+
+
+def weighted_labels(near: DataFrame, rounds: int) -> DataFrame:
+    """node, label after so many rounds in which each node takes the label with the most weight around it (the smallest of equals).
+
+    Labels start as the nodes and all change at once, so a given number of rounds has one result.  Edges are summed
+    by label before the choice: a hub costs what it has labels around it.
+    """
+    labels = near.select("node").distinct().withColumn("label", F.col("node"))
+    for _ in range(rounds):
+        votes = near.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        # of equal weights the smallest label
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b"))
+        labels = written(best.select("node", F.col("b.label").alias("label")), "labels")
+    return labels

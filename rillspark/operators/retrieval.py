@@ -83,3 +83,25 @@ def quality(ranked: DataFrame, gold: DataFrame, query: str, answer: str, k: int)
     hit = gold.join(ranked.where(F.col("rank") <= k), [query, answer], "left")
     each = hit.groupBy(query).agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
     return each.agg(F.count("*").alias("questions"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"))
+
+
+def in_order(tokens: Column, wanted: Column) -> Column:
+    """Whether all wanted tokens stand among the tokens in their order, with others between them or not."""
+    place = F.aggregate(wanted, F.lit(0), lambda p, w: F.when(p < 0, F.lit(-1)).otherwise(_after(tokens, p, w)))
+    return place > 0
+
+
+def _after(tokens: Column, p: Column, w: Column) -> Column:
+    at = F.array_position(F.slice(tokens, p + 1, F.greatest(F.size(tokens) - p, F.lit(0))), w).cast("int")
+    return F.when(at > 0, p + at).otherwise(-1)
+
+
+def triggered(questions: DataFrame, keys: list[str], text: str, vocabulary: DataFrame) -> DataFrame:
+    """keys and term of the terms (term, surface) whose surface's tokens all stand in a question, in order.
+
+    A question meets only terms whose first token it has.
+    """
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    v = vocabulary.select("term", split(F.col("surface")).alias("wanted")).where(F.size("wanted") > 0).withColumn("__first", F.col("wanted")[0])
+    q = questions.select(*keys, split(F.col(text)).alias("tokens")).withColumn("__first", F.explode(F.array_distinct("tokens")))
+    return q.join(v, "__first").where(in_order(F.col("tokens"), F.col("wanted"))).select(*keys, "term").distinct()

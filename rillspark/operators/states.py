@@ -75,3 +75,15 @@ def access(df: DataFrame, required: Sequence[str]) -> Column:
     """complete, partial or missing, by how many of the required readings a row has."""
     have = F.size(F.filter(F.array(*(finite(F.col(c)) for c in required)), lambda x: x.isNotNull()))
     return F.when(have == len(required), "complete").when(have > 0, "partial").otherwise("missing")
+
+
+def live_window(history: DataFrame, live: DataFrame, key: str, day: str, days: int) -> DataFrame:
+    """The last ``days`` days of each key up to its live row, which stands for its own day; to be derived anew as a series."""
+    last = live.select(key, F.col(day).alias("__last"))
+    old = history.join(last, key).where((F.col(day) < F.col("__last")) & (F.col(day) > F.date_sub("__last", days))).drop("__last")
+    return old.unionByName(live, allowMissingColumns=True)
+
+
+def episode_means(df: DataFrame, scenario: str, metrics: Sequence[str]) -> DataFrame:
+    """Runs and mean metrics of each scenario; a metric that a run lacks counts as 0."""
+    return df.groupBy(scenario).agg(F.count("*").alias("n"), *(F.avg(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in metrics))

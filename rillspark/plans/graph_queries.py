@@ -169,3 +169,23 @@ def retrieval_quality(t: Tables):
     gold = retrieval.containing(t("benchmark"), "item_id", t("documents"), "doc_id", "text")
     q = retrieval.quality(ranked.select(F.col("query").alias("item_id"), F.col("row").alias("doc_id"), "rank"), gold, "item_id", "doc_id", 8)
     return q.select("questions", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+def _vote(i: int) -> str:
+    return f"l{i} AS (SELECT node, label FROM (SELECT n.node, l.label, row_number() OVER (PARTITION BY n.node ORDER BY sum(weight) DESC, l.label) AS r FROM near n JOIN l{i - 1} l ON l.node = n.\"to\" GROUP BY 1, 2) WHERE r = 1)"
+
+
+@BOOK.query(f"WITH {_NEAR}, l0 AS (SELECT DISTINCT node, node AS label FROM near), {_vote(1)}, {_vote(2)}, {_vote(3)} SELECT node, label FROM l3")
+def weighted_communities(t: Tables):
+    return graph.weighted_labels(_near(t), 3)
+
+
+@BOOK.query(
+    "WITH v AS (SELECT p_partkey AS term, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS trigger FROM part WHERE p_partkey <= 60), q AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS tokens FROM (SELECT conv_id, turn, text || CASE conv_id % 3 WHEN 0 THEN ' a red, small bolt' WHEN 1 THEN ' blue old anvil' ELSE ' large gizmo' END AS text FROM conversations))"
+    " SELECT conv_id, turn, term FROM q JOIN v ON regexp_matches(tokens, ' ' || array_to_string(trigger, ' (.* )?') || ' ')"
+)
+def triggered_terms(t: Tables):
+    vocabulary = t("part").where("p_partkey <= 60").select(F.col("p_partkey").alias("term"), F.col("p_name").alias("surface"))
+    more = F.when(F.col("conv_id") % 3 == 0, " a red, small bolt").when(F.col("conv_id") % 3 == 1, " blue old anvil").otherwise(" large gizmo")
+    asked = t("conversations").select("conv_id", "turn", F.concat("text", more).alias("text"))
+    return retrieval.triggered(asked, ["conv_id", "turn"], "text", vocabulary)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from rillspark.operators import formulas, selection, states
+from rillspark.operators import formulas, selection, series, states
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -112,3 +112,19 @@ def technique_prices(t: Tables):
 def state_phrases(t: Tables):
     d = t("lineitem").where("l_orderkey % 10 = 0")
     return d.select("l_orderkey", "l_linenumber", selection.phrases([("q", F.col("l_quantity"), 4.0), ("t", F.col("l_tax"), 0.005)]).alias("phrase"))
+
+
+@BOOK.query(
+    "WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT user_id, max(day) AS last FROM h GROUP BY 1), w AS (SELECT h.user_id, day, v FROM h JOIN m ON h.user_id = m.user_id WHERE day < last AND day > last - 21 UNION ALL SELECT user_id, last, 99.0 FROM m)"
+    " SELECT user_id, CAST(day AS VARCHAR) AS day, round(avg(v) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 7) AS mean3 FROM w"
+)
+def live_windows(t: Tables):
+    h = t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
+    live = h.groupBy("user_id").agg(F.max("day").alias("day")).withColumn("value", F.lit(99.0))
+    w = states.live_window(h, live, "user_id", "day", 21)
+    return w.select("user_id", F.col("day").cast("string").alias("day"), F.round(series.rolling("value", 3, F.avg, "user_id"), 7).alias("mean3"))
+
+
+@BOOK.query("SELECT event_type, count(*) AS n, round(avg(coalesce(value, 0)), 8) AS value FROM events GROUP BY 1")
+def episode_means(t: Tables):
+    return states.episode_means(t("events"), "event_type", ["value"]).select("event_type", "n", F.round("value", 8).alias("value"))
