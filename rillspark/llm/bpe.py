@@ -15,16 +15,18 @@ run of punctuation are always pre-tokens of their own.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct parts, and characters of long ones, kept by a Python worker; beyond that the memory starts afresh.
 KEPT_PARTS, KEPT_CHARS = 1_000_000, 50_000_000
-#: Punctuation that may stand behind a word; no apostrophe, as some endings with one are pre-tokens.
-BEHIND = "*$%&#.,;:!?|<>\")]"
-#: Letters below this are letters in every version of Unicode.
-LATIN = "\u0250"
+#: A word of Latin letters, which are letters in every version of Unicode, and punctuation behind it; no
+#: apostrophe, as some endings with one are pre-tokens.
+WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([*$%&#.,;:!?|<>\")\]]*)").fullmatch
 #: Characters of parts that are encoded together.
 JOINED = 4000
 
@@ -95,17 +97,18 @@ class PartEncoder:
         # the list grows while it is read: a word, and what stands behind it, may be new parts themselves
         for i, key in enumerate(fresh):
             n = first + i
-            if key[:1] == " ":
+            if m := WORD(key):
+                if m[2]:
+                    made.append((n, numbers[m[1]], numbers[" " + m[2]]))
+                else:
+                    joined.append((n, " " + key))
+            elif key[:1] == " ":
                 alone.append((n, key[1:]))
                 self.chars += len(key)
             elif not key or key[-1].isspace() or key[0].isspace() and (key[0] != "\n" or key[1].isspace()):
                 odd.append(n)
             else:
-                word = key.rstrip(BEHIND)
-                if len(word) < len(key) and word.isalpha() and max(word) < LATIN:
-                    made.append((n, numbers[word], numbers[" " + key[len(word) :]]))
-                else:
-                    joined.append((n, key if key[0] == "\n" else " " + key))
+                joined.append((n, key if key[0] == "\n" else " " + key))
         total = len(fresh)
         fresh.clear()
         starts, lengths, is_odd = np.zeros(total, "i8"), np.zeros(total, "i8"), np.zeros(total, bool)
@@ -142,33 +145,52 @@ class PartEncoder:
             self.starts.data[which[:, 0]], self.lengths.data[which[:, 0]] = self.ids.n + np.cumsum(total_of) - total_of, total_of
             self.ids.add(both)
 
-    def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The unsigned 32-bit ids of all texts, each with ``end`` behind it, and how many each has."""
+    def _numbered(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+
+    def encode(self, texts: pa.Array | Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The unsigned 32-bit ids of all texts, each with ``end`` behind it, and how many each has.
+
+        Cutting and finding the distinct parts of the batch is Arrow's work; only those are looked up.
+        """
         if len(self.numbers) > self.kept or self.chars > KEPT_CHARS:
             self._forget()
-        texts = list(texts)
-        get, parts = self.numbers.__getitem__, []
-        for t in texts:
-            if not t:
-                parts.append([])
-            elif any(s in t for s in self.special):
-                parts.append([" " + t])
-            else:
-                head, *rest = t.replace("\n", " \n").split(" ")
-                parts.append([" " + head, *rest] if head else rest)
-        found = [np.fromiter(map(get, p), np.int64, len(p)) for p in parts]
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, "i8")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets, parts = lists.offsets.to_numpy(), lists.flatten()
+        distinct = parts.dictionary_encode()
+        heads = parts.take(pa.array(offsets[:-1])).to_pylist()
+        # one text of all distinct parts, as none holds a blank: made into Python's strings at once
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct.dictionary)], pa.int32()), distinct.dictionary), " ")
+        own = self._numbered(whole[0].as_py().split(" "))
+        first = self._numbered([" " + h for h in heads])
         self._learn()
-        for i, f in enumerate(found):
-            if self.odd.data[f].any():
-                careful = [" " + p for p in careful_parts(texts[i])]
-                found[i] = np.fromiter(map(get, careful), np.int64, len(careful))
-        if self.numbers.fresh:
+        which = own[distinct.indices.to_numpy()]
+        odd = self.odd.data[which]
+        odd[offsets[:-1]] = False  # a head is encoded as it is
+        keep = np.ones(len(which), bool)
+        keep[offsets[:-1]] = [bool(h) for h in heads]
+        which[offsets[:-1]] = first
+        special = np.zeros(n, bool)
+        for mark in self.special:
+            special |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        apart = special | np.logical_or.reduceat(odd, offsets[:-1])
+        counts = np.add.reduceat(keep.astype(np.int64), offsets[:-1])
+        which = which[keep]
+        if apart.any():
+            found = np.split(which, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(apart).tolist():
+                t = texts[i].as_py()
+                found[i] = self._numbered([" " + p for p in ([t] if special[i] else careful_parts(t))])
+            counts = np.array([len(f) for f in found], "i8")
+            which = np.concatenate(found)
             self._learn()
-        n_parts = np.array([len(f) for f in found], "i8")
-        which = np.concatenate(found) if found else np.zeros(0, "i8")
         sizes = self.lengths.data[which]
         ids = self.ids.data[spans(self.starts.data[which], sizes)]
-        until = np.r_[0, np.cumsum(sizes)][np.cumsum(n_parts)]
+        until = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
         return np.insert(ids, until, np.uint32(end)), np.diff(until, prepend=0) + 1
 
 

@@ -46,9 +46,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in sliced(batches, text_col, 4_000_000):
+        for b in sliced(batches, text_col, 6_000_000):
             where, start, length, crc, total, ids = [], [], [], [], [], []
-            flat, sizes = enc.encode(b.column(text_col).to_pylist(), end)
+            flat, sizes = enc.encode(b.column(text_col), end)
             until = np.cumsum(sizes)
             whole = memoryview(flat.tobytes())
             for i, (n, first) in enumerate(zip(sizes.tolist(), (until - sizes).tolist(), strict=True)):

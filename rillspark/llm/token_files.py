@@ -182,9 +182,9 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         if enc.tok.get_vocab_size() > BASE or end >= BASE:
             raise ValueError("the vocabulary reaches into the nonterminals")
         keys, ids, sizes, size, k, before, shard = [], [], [], 0, 0, 0, 0
-        for b in sliced(batches, text_col, 2_000_000):
+        for b in sliced(batches, text_col, 4_000_000):
             shard = b.column("shard")[0].as_py()
-            flat, n = enc.encode(b.column(text_col).to_pylist(), end)
+            flat, n = enc.encode(b.column(text_col), end)
             keys.append(b.column(id_col))
             ids.append(flat)
             sizes.append(n)
