@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.operators.ranking import top_of_each
-from rillspark.session import written
+from rillspark.session import removed, tables_so_far, written
 
 
 def degrees(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -50,6 +50,7 @@ def spread_labels(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> D
     A round takes the smallest label around each node and then the label of that label, which halves
     long chains.  Each round is written, so a lost executor costs one round at most.
     """
+    mark = tables_so_far()
     near = neighbours(edges, a, b).select("node", "to")
     labels = written(near.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")), "labels")
     for _ in range(most_rounds):
@@ -58,6 +59,7 @@ def spread_labels(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> D
         jump = low.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
         now = written(jump.select("node", F.least("label", "further").alias("label"), "old"), "labels")
         if now.where("label != old").isEmpty():
+            removed(edges.sparkSession, mark, keep=[now])
             return now.select("node", "label")
         labels = now.select("node", "label")
     raise RuntimeError("labels did not settle")

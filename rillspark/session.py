@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +55,9 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def tables_so_far() -> int:
@@ -62,15 +65,15 @@ def tables_so_far() -> int:
     return len(_tables)
 
 
-def removed(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
-    """Removes the tables written since a mark, all but the last one if asked for; how many these were.
+def removed(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = (), keep_last: bool = False) -> int:
+    """Removes the tables written since a mark, but those to keep and, if asked for, the last one; how many these were.
 
-    For the caller of a job, once its result is written or read: until then the result
-    may need any of them.
+    For the caller of a job, once its result is written or read; inside an operator, for the tables that
+    its result does not need.
     """
-    stop = len(_tables) - keep_last
-    gone = _tables[since:stop]
-    del _tables[since:stop]
+    kept = {df._written_at for df in keep} | set(_tables[-1:] if keep_last else ())
+    gone = [p for p in _tables[since:] if p not in kept]
+    _tables[since:] = [p for p in _tables[since:] if p in kept]
     for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
