@@ -15,10 +15,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def tiny_table(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(rows, schema=schema)
-
-
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most_bytes`` at most.
 

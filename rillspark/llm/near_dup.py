@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from rillspark.llm.common import sliced, words
 from rillspark.llm.components import components
 from rillspark.llm.hashing import P, WordHashes, bit_filter, in_filter, mixed, runs
-from rillspark.session import written
+from rillspark.session import removed, tables_so_far, written
 
 PERMUTATIONS, ROWS, BANDS = 96, 5, 38
 SEED = 20240229
@@ -138,6 +138,7 @@ def _agreeing(x: str, y: str, longs: int) -> str:
 
 def near_components(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``id_col``, n_shingles, component_id and kept of every row."""
+    mark = tables_so_far()
     table = written(signatures(docs, id_col, text_col, size), "signatures")
     first = F.min(F.struct("id", "n_shingles", "bits", "bands")).alias("r")
     reps = written(table.where("key is not null and id is not null").groupBy("key").agg(first).select("key", "r.*"), "classes")
@@ -205,6 +206,8 @@ def near_components(docs: DataFrame, size: int, id_col: str = "doc_id", text_col
     if not new.isEmpty():
         labels = merged(new)
 
+    # the result needs no more than these three
+    removed(docs.sparkSession, mark, keep=[table, reps, labels])
     classes = reps.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = table.select("id", "key", "n_shingles").join(classes, "key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))

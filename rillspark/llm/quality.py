@@ -22,7 +22,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.session import written
+from rillspark.session import removed, tables_so_far, written
 
 SAMPLE_ROWS, SAMPLE_CHARS, REPEATS = 500, 20_000, 8
 WINDOW = 8
@@ -98,6 +98,7 @@ def cascade_order(docs: DataFrame, text_col: str = "text", rules: dict[str, str]
     # take() reads as few partitions as it needs; a limit inside a written plan would scan and shuffle all
     short = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     some = docs.sparkSession.createDataFrame(short.take(rows), "text string")
+    mark = tables_so_far()
     sample = written(features(some).where("not base_failed"), "sample")
     verdicts = sample.select(*(F.expr(r).alias(name) for name, r in rules.items())).collect()  # at most ``rows`` rows
     many = sample.repartition(1).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
@@ -113,6 +114,7 @@ def cascade_order(docs: DataFrame, text_col: str = "text", rules: dict[str, str]
     empty = seconds(F.col("again") > 0)
     # launch times scatter by a few hundredths of a second, so smaller costs count as equal
     cost = {name: 4.0 ** round(math.log(max(seconds(F.expr(r)) - empty, 0.05), 4)) for name, r in rules.items()}
+    removed(docs.sparkSession, mark)
     order, left, rest = [], verdicts, list(rules)
     while rest:
         best = max(rest, key=lambda name: (sum(bool(v[name]) for v in left) / cost[name], -rest.index(name)))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.session import written
+from rillspark.session import removed, tables_so_far, written
 
 CELLS, HEAVY, WEIGHTS = 8192, 1 / 64, np.array([4.0, 1.0, 1.0])
 #: A heavy group over this part of a shard is split into pieces of about a sixteenth of it.
@@ -45,6 +45,7 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
 def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row."""
     spark = docs.sparkSession
+    mark = tables_so_far()
     text = F.col(text_col)
     rows = written(
         docs.select(
@@ -77,6 +78,7 @@ def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
         .select(id_col, "size", "text_crc32", "shard", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).alias("chunk")),
         "placed",
     )
+    removed(spark, mark, keep=[placed])
     # slots without a sort of a whole shard: chunks first, then rows inside their chunk
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     firsts = counts.select(F.col("shard").alias("of_shard"), F.col("chunk").alias("of_chunk"), (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("first"))
