@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-from rillspark.llm import bpe, decontaminate, html_text, lm_score, near_dup, packing, pii, quality, sharding, token_count, token_files
+from rillspark.llm import bpe, centroids, decontaminate, html_text, lm_score, near_dup, packing, pii, quality, sharding, token_count, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_html, op3_shards, op4_token_counts, op5_lm_scores, op6_packing, op7_near_dup, op8_token_files, op9_decontaminate, op10_quality)}
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), dimensions=64, clusters=40, rounds=5, seed=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_html, op3_shards, op4_token_counts, op5_lm_scores, op6_packing, op7_near_dup, op8_token_files, op9_decontaminate, op10_quality, op13_centroids)}
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments (near0, ...) and centroids (c0, ...) of k-means, one pair of tables for each round."""
+    near = """near{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, k := k)) AS m
+  FROM (SELECT r, vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{i}) GROUP BY r)"""
+    moved = """c{j} AS MATERIALIZED (
+  SELECT c{i}.k, coalesce(n.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c
+    FROM (SELECT m.k AS k, j, sum(v[j]) AS s, count(*) AS n FROM near{i}, unnest(range(1, 65)) AS u(j) GROUP BY m.k, j) GROUP BY k) n ON n.k = c{i}.k)"""
+    return ",\n".join(x.format(i=i, j=i + 1) for i in range(rounds + 1) for x in ([near, moved] if i < rounds else [near]))
 
 ORACLE = {
     "op10_quality": r"""
@@ -82,5 +98,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) > 3 * n_words
             OR (n_words >= 50 AND 10 * len(list_distinct(ws)) < n_words)) AS kept
 FROM b
+""",
+    "op13_centroids": f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS k, v AS c FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) <= 40),
+{_rounds_sql(5)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+       CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c5.c, ',')) AS centroid_sha256
+FROM near5 JOIN c5 ON c5.k = m.k
 """,
 }
