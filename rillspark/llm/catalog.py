@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-from rillspark.llm import bpe, centroids, decontaminate, html_text, lm_score, near_dup, packing, pii, quality, sharding, token_count, token_files
+from rillspark.llm import bpe, centroids, decontaminate, html_text, lm_score, near_dup, packing, pii, pu_quality, quality, sharding, spelling, token_count, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +52,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir), shortest=6, fewest=5, noise=199)
+
+
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), dimensions=64, clusters=40, rounds=5, seed=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_html, op3_shards, op4_token_counts, op5_lm_scores, op6_packing, op7_near_dup, op8_token_files, op9_decontaminate, op10_quality, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_html, op3_shards, op4_token_counts, op5_lm_scores, op6_packing, op7_near_dup, op8_token_files, op9_decontaminate, op10_quality, op11_spelling, op12_pu_quality, op13_centroids)}
 
 
 def _rounds_sql(rounds: int) -> str:
@@ -98,6 +106,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) > 3 * n_words
             OR (n_words >= 50 AND 10 * len(list_distinct(ws)) < n_words)) AS kept
 FROM b
+""",
+    # crc32 goes byte by byte through a table of 256 numbers; words one edit apart share what is left without one code point
+    "op11_spelling": r"""
+WITH tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END, CAST(b AS BIGINT))) AS t),
+runs AS MATERIALIZED (
+  SELECT id, run, hex(encode(CAST(id AS VARCHAR) || ':' || run)) AS x, count(*) AS n FROM (
+    SELECT doc_id AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) GROUP BY id, run),
+hashed AS (
+  SELECT run, n, 4294967295 - list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+                             lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)) AS h
+  FROM runs, tab),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % len(run) AS INTEGER)) || substr(run, CAST(h % len(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, unnest(range(len(word))) AS u(i)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := near)) AS m FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.m.less >= 5 * w.n THEN b.m.near END AS form, CASE WHEN -b.m.less >= 5 * w.n THEN -b.m.less END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  WITH RECURSIVE up(word, last, step) AS (
+    SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+    UNION ALL SELECT up.word, f.form, up.step + 1 FROM up JOIN forms f ON f.word = up.last WHERE f.form IS NOT NULL)
+  SELECT word, arg_max(last, step) AS root FROM up GROUP BY word)
+SELECT f.word, f.form, coalesce(c.root, f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM forms f LEFT JOIN chain c ON c.word = f.word
 """,
     "op13_centroids": f"""
 WITH kept AS MATERIALIZED (
