@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.operators.quantiles import running_max
+from rillspark.session import written
 
 
 def top_of_each(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -31,3 +32,21 @@ def skyline(df: DataFrame, low: str, high: str) -> DataFrame:
     best = df.groupBy(F.col(low).alias("__low")).agg(F.max(high).alias("__high"))
     front = running_max(best, "__low", "__high", inclusive=False).where(F.coalesce(F.col("top") < F.col("__high"), F.lit(True)))
     return df.join(front.select("__low", "__high"), (F.col(low) == F.col("__low")) & (F.col(high) == F.col("__high")), "left_semi")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with numbers from 1 in a total order.
+
+    Rows are dealt out in ranges of the order and written; each range numbers its own rows and starts where the
+    counts of the ranges before it end, so no task sees more than its range.
+    """
+    ranges = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = sorted((r["__range"], r["count"]) for r in ranges.groupBy("__range").count().collect())  # one row a range
+    starts, total = {}, 0
+    for k, n in counts:
+        starts[k], total = total, total + n
+    before = F.lit(0).cast("long")
+    if starts:
+        before = F.element_at(F.create_map(*(F.lit(x) for k, n in starts.items() for x in (k, n))), F.col("__range")).cast("long")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn(name, before + own).drop("__range")

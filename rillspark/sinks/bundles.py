@@ -8,9 +8,11 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.operators.ranking import numbered
+
 
 def write_facts(spark: SparkSession, path: str, facts: Mapping) -> None:
     """A small JSON file through the file system that Spark writes to; a half-written one is never seen."""
@@ -58,8 +60,7 @@ def graph_tables(triples: DataFrame) -> dict[str, DataFrame]:
     relations = triples.groupBy(*key).agg(F.min(F.struct("evidence", "source_type", "target_type")).alias("b")).select(*key, "b.source_type", "b.target_type", "b.evidence")
     ends = triples.select(F.inline(F.array(F.struct(F.col("source").alias("name"), F.col("source_type").alias("type")), F.struct(F.col("target").alias("name"), F.col("target_type").alias("type")))))
     names = ends.groupBy("name").agg(F.max("type").alias("type"))
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name"))  # entities of one graph: tens of thousands
-    entities = names.withColumn("entity_id", F.format_string("E%04d", n)).select("entity_id", "name", "type")
+    entities = numbered(names, [F.col("name")], "n").select(F.format_string("E%04d", "n").alias("entity_id"), "name", "type")
     return {"relations": relations, "entities": entities, "occurrences": triples.select(*key, "chunk_id").where("chunk_id is not null").distinct()}
 
 
