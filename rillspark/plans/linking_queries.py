@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.operators import communities, linking, similarity
+from rillspark.operators import communities, linking, search_index, similarity, texts
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -84,3 +84,24 @@ def word_communities(t: Tables):
     ws = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 1, F.lit(1))), lambda i: F.struct(F.get("ws", i - 1).alias("a"), F.get("ws", i).alias("b")))
     return communities.communities(t("benchmark").select(ws.alias("ws")).select(F.inline(pairs)), "a", "b")
+
+
+@BOOK.query(
+    "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),"
+    " n AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (term), n),"
+    " d AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x),"
+    " q AS (SELECT item_id, term, (1 + ln(count(*))) * (ln((1 + any_value(n)) / CAST(1 + any_value(df) AS DOUBLE)) + 1) AS q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) JOIN df USING (term), n GROUP BY 1, 2),"
+    " s AS (SELECT item_id, doc_id, round(sum(w * q), 9) AS score FROM d JOIN q USING (term) GROUP BY 1, 2)"
+    " SELECT item_id, doc_id AS doc, score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 5"
+)
+def indexed_search(t: Tables):
+    """The five documents nearest to each benchmark item by TF-IDF, over a written index that is read block by block."""
+    split = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    docs = t("documents").select("doc_id", "text")
+    index = search_index.built(texts.tf_idf(docs, "doc_id", split), "doc_id")
+    # what a list's length says of a term is in the index: its document frequency
+    n = docs.count()
+    df = index.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    tf = t("benchmark").select("item_id", F.explode(split).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+    asked = tf.join(df, "term").select("item_id", "term", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("weight"))
+    return search_index.searched(index, asked, "item_id", 5)[0]

@@ -45,15 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
 _tables: list[str] = []
 
 
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def written(df: DataFrame, name: str = "cut", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, in folders by some columns if asked for, and read again.
 
     Cuts the lineage: an executor that is lost afterwards costs no earlier stage.  The table
     stays until :func:`removed` takes it away.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
