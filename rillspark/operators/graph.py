@@ -130,3 +130,33 @@ def weighted_labels(near: DataFrame, rounds: int) -> DataFrame:
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b"))
         labels = written(best.select("node", F.col("b.label").alias("label")), "labels")
     return labels
+
+
+def expanded(near: DataFrame, seeds: DataFrame, decay: float, floor: float, depth: int = 3, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, score) of what the seeds reach, and (node, score) with the best score of every node reached.
+
+    ``near``: node, to, weight (edges between the two) and, for the order of a budget, lexical.  ``seeds``: node, score.
+    An edge takes ``decay / (1 + ln(1 + weight))`` of the score: parallel edges speak for a hub, not for more evidence.
+    A layer goes on from a node only if it reached it with more than any layer before, by its best path (of equal ones the
+    smallest), so a layer is no larger than the number of nodes; all edges that leave it above the floor are recorded.
+    A node with more than ``budget`` neighbours keeps the seeds among them and then the best by lexical, the smallest first of equals.
+    """
+    best = written(seeds.groupBy("node").agg(F.max("score").alias("score")), "best")
+    frontier = best.withColumn("path", F.array("node"))
+    anchored = best.select(F.col("node").alias("to"), F.lit(1).alias("anchor"))
+    found = None
+    for _ in range(depth):
+        out = near.join(frontier, "node")
+        if budget is not None:
+            ranked = top_of_each(out.join(anchored, "to", "left"), ["node"], [F.desc_nulls_last("anchor"), F.desc("lexical"), F.col("to")], budget)
+            # seeds stay even where they alone exceed the budget
+            out = ranked.drop("rank", "anchor").unionByName(out.join(anchored, "to", "left_semi").join(ranked.select("node", "to"), ["node", "to"], "left_anti"))
+        score = F.col("score") * decay / (1 + F.log1p("weight"))
+        step = out.where(~F.array_contains("path", F.col("to"))).select(F.col("to").alias("node"), score.alias("score"), F.concat("path", F.array("to")).alias("path")).where(F.col("score") >= floor)
+        layer = written(step, "layer")
+        found = layer if found is None else found.unionByName(layer)
+        first = layer.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("less"), "path")).alias("b")).select("node", (-F.col("b.less")).alias("score"), "b.path")
+        better = first.join(best.select("node", F.col("score").alias("known")), "node", "left").where("known is null or score > known")
+        frontier = written(better.select("node", "score", "path"), "frontier")
+        best = written(best.unionByName(frontier.select("node", "score")).groupBy("node").agg(F.max("score").alias("score")), "best")
+    return found.select("path", "score"), best
