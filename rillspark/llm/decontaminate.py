@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm.common import sliced
@@ -131,11 +131,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return checked.where(F.expr(f"substitutions <= n * {SUBSTITUTIONS} div {SPAN}")).drop("n")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart for the search: the id, which may be null or repeated, and a hash of the text, which decides alone."""
+    return F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = 1) -> DataFrame:
-    """``id_col``, contaminated, n_windows, ``item_col`` (the smallest of those found) and substitutions (fewest) of every row."""
-    found = hits(docs, benchmark, id_col, text_col, item_col, item_text, shortest)
+    """``id_col``, contaminated, n_windows, ``item_col`` (the smallest of those found) and substitutions (fewest) of every row.
+
+    Rows with a null id, and rows that share an id, are judged by their own texts.
+    """
+    keyed = docs.select(F.col(f"`{id_col}`").alias(id_col), row_key(id_col, text_col).alias("__row"), F.col(f"`{text_col}`").alias(text_col))
+    found = hits(keyed, benchmark, "__row", text_col, item_col, item_text, shortest)
     # a document's windows are merged place by place first: the same place comes up for each mask and item
-    by_place = found.groupBy(id_col, "place").agg(F.min(item_col).alias(item_col), F.min("substitutions").alias("substitutions"))
-    per_doc = by_place.groupBy(id_col).agg(F.count("*").alias("n_windows"), F.min(item_col).alias(item_col), F.min("substitutions").alias("substitutions"))
-    out = docs.select(id_col).join(per_doc, id_col, "left")
+    by_place = found.groupBy("__row", "place").agg(F.min(item_col).alias(item_col), F.min("substitutions").alias("substitutions"))
+    per_doc = by_place.groupBy("__row").agg(F.count("*").alias("n_windows"), F.min(item_col).alias(item_col), F.min("substitutions").alias("substitutions"))
+    out = keyed.select(id_col, "__row").join(per_doc, "__row", "left")
     return out.select(id_col, F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), item_col, "substitutions")

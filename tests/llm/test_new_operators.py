@@ -250,3 +250,22 @@ def test_only_overlapping_intervals_are_computed_exactly():
 
 def test_new_queries_are_registered():
     assert {"op11_spelling", "op12_pu_quality", "op13_centroids"} <= set(catalog.QUERIES)
+
+
+# -- null and repeated ids in decontamination -------------------------------------------------
+
+
+def test_rows_without_an_id_are_judged_by_their_texts(spark, tmp_path):
+    import corpus_pipeline
+    from rillspark.llm import decontaminate
+
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    clean = "nothing of that kind stands here at all but some other words that nobody asked for"
+    rows = [(None, f"before {item} after"), (None, clean), (None, None), (5, item), (5, clean), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (None, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.contaminated) for r in decontaminate.contamination(docs, bench).collect()), key=str)
+    assert got == sorted([(None, True), (None, False), (None, False), (5, True), (5, False), (6, False)], key=str)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
