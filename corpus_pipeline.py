@@ -21,9 +21,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
-    found = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that share no window with the benchmark; each row is judged by its own text, whatever its id."""
+    keyed = docs.withColumn("__row", decontaminate.row_key())
+    found = decontaminate.hits(keyed.select("__row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
+    return keyed.join(found.select("__row").distinct(), "__row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
