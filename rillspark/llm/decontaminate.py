@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm.common import sliced
-from rillspark.llm.hashing import KEPT_WORDS, P, bit_filter, in_filter, mixed, runs
+from rillspark.llm.hashing import KEPT_WORDS, P, bit_filter, in_filter, mixed
 from rillspark.session import written
 
 SPAN, SUBSTITUTIONS, SALTS = 13, 2, 16
@@ -70,17 +70,45 @@ class PlainHashes(dict):
         return h[h != 0]
 
 
+#: An odd base of sums of hashes and its inverse modulo 2**64.
+INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64, as many as the longest text so far needs."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.known = base, np.ones(1, np.uint64)
+
+    def first(self, n: int) -> np.ndarray:
+        if n > len(self.known):
+            self.known = np.full(2 * n, self.base, np.uint64)
+            self.known[0] = 1
+            np.multiply.accumulate(self.known, out=self.known)
+        return self.known[:n]
+
+
+UP, DOWN = Powers(P), Powers(INVERSE)
+
+
 def masked(h: np.ndarray, size: int) -> np.ndarray:
-    """masks x windows: the hash of each window of ``size`` words under each mask, apart from other sizes and masks."""
+    """masks x windows: the hash of each window of ``size`` words under each mask, apart from other sizes and masks.
+
+    A block's words are summed with rising powers, as the difference of two running sums of the text, brought
+    back to the block's start.
+    """
     n = len(h) - size + 1
     where, masks = layout(size)
-    blocks = [runs(h, words)[first : first + n] for first, words in where]
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * UP.first(len(h)), out=sums[1:])
+    down = DOWN.first(len(h))
+    blocks = [(sums[first + words : first + words + n] - sums[first : first + n]) * down[first : first + n] for first, words in where]
     out = np.empty((len(masks), n), np.uint64)
     for m, mask in enumerate(masks):
-        acc = np.full(n, 64 * size + m + 1, np.uint64)
-        for b in mask:
-            acc = mixed(acc * P + blocks[b])
-        out[m] = acc
+        acc = blocks[mask[0]] + np.uint64((64 * size + m + 1) * int(P) % (1 << 64))
+        for b in mask[1:]:
+            acc = acc * P + blocks[b]
+        out[m] = mixed(acc)
     return out.view(np.int64)
 
 
