@@ -105,3 +105,35 @@ def triggered(questions: DataFrame, keys: list[str], text: str, vocabulary: Data
     v = vocabulary.select("term", split(F.col("surface")).alias("wanted")).where(F.size("wanted") > 0).withColumn("__first", F.col("wanted")[0])
     q = questions.select(*keys, split(F.col(text)).alias("tokens")).withColumn("__first", F.explode(F.array_distinct("tokens")))
     return q.join(v, "__first").where(in_order(F.col("tokens"), F.col("wanted"))).select(*keys, "term").distinct()
+
+
+def capped_with_overflow(found: DataFrame, anchor: str, order: list[Column], each: int, most: int) -> DataFrame:
+    """The first ``most`` rows with at most ``each`` of an anchor; where that leaves none at all, the first ``most`` without the cap.
+
+    ``rank`` numbers them; both kinds are limited rows, whatever ``found`` holds.
+    """
+    few = top_of_each(found, [anchor], order, each).drop("rank").orderBy(*order).limit(most).withColumn("capped", F.lit(0))
+    rest = found.orderBy(*order).limit(most).withColumn("capped", F.lit(1))
+    both = few.unionByName(rest)
+    kind = both.agg(F.min("capped").alias("kind"))  # one row
+    return both.join(F.broadcast(kind), F.col("capped") == F.col("kind")).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("capped", "kind")
+
+
+def link_recall(gold: DataFrame, linked: DataFrame, query: str, name: str) -> DataFrame:
+    """query, link_recall: the share of a question's right names that were linked, without regard to case; questions without names have none."""
+    fold = lambda d: d.where(F.col(name).isNotNull()).select(query, F.lower(name).alias("__n")).distinct()
+    hit = fold(gold).join(fold(linked).withColumn("__hit", F.lit(1)), [query, "__n"], "left")
+    return hit.groupBy(query).agg((F.count("__hit") / F.count("*")).alias("link_recall"))
+
+
+def chain_hit(chains: DataFrame, edges: DataFrame, query: str, chain: str, u: str, v: str) -> DataFrame:
+    """query, chain_hit: the share of a question's chains (arrays of nodes) whose neighbours are all joined by an edge found for it, in either direction.
+
+    A chain of one node has no neighbours and is no hit.
+    """
+    numbered = chains.select(query, F.monotonically_increasing_id().alias("__c"), F.col(chain).alias("__chain"))
+    pairs = numbered.select(query, "__c", F.explode_outer(F.when(F.size("__chain") > 1, F.arrays_zip(F.slice("__chain", F.lit(1), F.size("__chain") - 1).alias("a"), F.slice("__chain", F.lit(2), F.size("__chain") - 1).alias("b")))).alias("p"))
+    found = edges.select(query, F.least(u, v).alias("__u"), F.greatest(u, v).alias("__v"), F.lit(1).alias("__hit")).distinct()
+    met = pairs.withColumns({"__u": F.least("p.a", "p.b"), "__v": F.greatest("p.a", "p.b")}).join(found, [query, "__u", "__v"], "left")
+    whole = met.groupBy(query, "__c").agg((F.count("__hit") == F.count("*")).alias("hit"))
+    return whole.groupBy(query).agg(F.avg(F.col("hit").cast("double")).alias("chain_hit"))

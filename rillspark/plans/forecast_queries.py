@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillspark.operators import forecasts, measures
+from rillspark.operators import forecasts, leave_one_out, measures
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -60,3 +60,12 @@ def analog_backtest(t: Tables):
     near = forecasts.analogs(d, "day", ["q", "s", "x"], "q", asked)
     b = forecasts.analog_backtest(near, d.select(F.date_sub("day", 1).alias("query_day"), F.col("q").alias("actual")), 100.0)
     return b.select("queries", F.round("mae", 6).alias("mae"), F.round("success", 6).alias("success"))
+
+
+@BOOK.query()
+def leave_one_out_customers(t: Tables):
+    """Each customer's balance by a model of all others: their orders, with gaps for those without any; tested against models fitted anew."""
+    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("top"), F.countDistinct("o_orderstatus").alias("states"))
+    c = t("customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("nation", F.col("c_nationkey").cast("double"))
+    out = leave_one_out.predicted(c, "c_custkey", ["n", "mean", "top", "states", "nation"], "c_acctbal")
+    return out.select("c_custkey", F.round("actual", 6).alias("actual"), F.round("predicted", 6).alias("predicted"), F.round("absolute_error", 6).alias("absolute_error"))
