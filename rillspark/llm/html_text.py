@@ -48,6 +48,8 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "body", "html", "head", "dt", "dd", "li"}
 FURNITURE = frozenset("nav footer aside form button dialog menu head fieldset label input".split())
+#: Furniture that may also be put around a whole page, and how many of them may stand inside each other around an article.
+WRAPPERS, DEEPEST = frozenset("form fieldset dialog label".split()), 8
 
 # Names by which the labelled pages mark what is not the article, and names of its own parts.
 ASIDE_NAMES = "ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead comment comments replies reply respond discussion disqus share sharing social related recommended newsletter subscribe signup login search popup modal overlay skip pagination pager toolbar copyright legal hidden tags".split()
@@ -71,11 +73,11 @@ NAMED_BELOW = -1.0
 
 
 def furniture_kind(tag: str, attributes: str, inside_article: bool, names: dict[str, float]) -> str:
-    """``tag`` if an element is furniture by its tag or role, ``name`` if by the learned weights of its class and id, else empty."""
-    if tag in FURNITURE or tag == "header" and not inside_article:
-        return "tag"
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return ""
+    """``tag`` if an element is furniture by its tag or role, ``wrap`` if it may hold a page for all that, ``name`` if by the
+    learned weights of its class and id, else empty."""
+    own = "tag" if tag in FURNITURE - WRAPPERS or tag == "header" and not inside_article else "wrap" if tag in WRAPPERS else ""
+    if own == "tag" or not attributes or tag in ("html", "body", "article", "main"):
+        return own
     weight = 0.0
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
@@ -83,15 +85,15 @@ def furniture_kind(tag: str, attributes: str, inside_article: bool, names: dict[
             return "tag"
         if name in ("class", "id"):
             weight += sum(names.get(w, 0.0) for w in name_tokens(value))
-    return "name" if weight < NAMED_BELOW else ""
+    return own or ("name" if weight < NAMED_BELOW else "")
 
 
 def events(page: str, names: dict[str, float], trusted: frozenset[int] = frozenset()) -> Iterator[tuple[str, str, int, tuple[str, int] | None]]:
     """(kind, what, words, element) in page order: kinds are ``tag``, ``text`` and ``furniture`` (text inside it).
 
     ``what`` of a text is the raw text; of a tag, its class for scoring.  ``element`` is the
-    place and number of the outermost furniture that the event belongs to; an element that is furniture
-    by its names alone has a place that ends in ``?``, and is none if its number is trusted.
+    place and number (where it starts) of the outermost furniture that the event belongs to; an element that is furniture
+    by its names alone has a place that ends in ``?``, a wrapper one that ends in ``!``; neither is if its number is trusted.
     """
     at, stack = 0, []  # of open elements: (tag, outermost furniture here or above)
     open_tags: Counter = Counter()
@@ -101,7 +103,7 @@ def events(page: str, names: dict[str, float], trusted: frozenset[int] = frozens
             open_tags[t] -= 1
         del stack[i:]
 
-    number, plain = 0, not ARTICLE.search(page)
+    plain = not ARTICLE.search(page)
     depth_article = 0
     raw_end = None
     while at < len(page):
@@ -157,10 +159,8 @@ def events(page: str, names: dict[str, float], trusted: frozenset[int] = frozens
         if tag not in VOID and not attributes.rstrip().endswith("/"):
             place = "article" if depth_article else "nested" if plain and stack and stack[-1][0] not in ("html", "body") else "top"
             depth_article += tag in ("article", "main")
-            if not marked and (how := furniture_kind(tag, attributes, depth_article > 0, names)):
-                number += 1
-                if number not in trusted:
-                    marked = (place + "?" * (how == "name"), number)
+            if not marked and (how := furniture_kind(tag, attributes, depth_article > 0, names)) and m.start() not in trusted:
+                marked = (place + {"name": "?", "wrap": "!"}.get(how, ""), m.start())
             stack.append((tag, marked))
             open_tags[tag] += 1
         yield ("tag", tag, 0, marked)
@@ -227,7 +227,7 @@ def trained_weights() -> dict[tuple[str, str], float]:
         for part, where in ((page[:a], outside), (page[a:b], inside), (page[b:], outside)):
             known: set[tuple[str, int]] = set()
             for kind, what, n, element in events(part, names):
-                place = element[0].rstrip("?") if element else ""
+                place = element[0].rstrip("?!") if element else ""
                 if element and element not in known:
                     known.add(element)
                     where["element", place] += 1
@@ -256,13 +256,24 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return best
 
 
+def _held(seen: list[tuple[str, str, int, tuple[str, int] | None]]) -> dict[tuple[str, int], Counter]:
+    """Tags, and words as ``""``, of the elements that need not be furniture."""
+    held: dict[tuple[str, int], Counter] = {}
+    for kind, what, n, element in seen:
+        if element and element[0][-1] in "?!":
+            held.setdefault(element, Counter())[what if kind == "tag" else ""] += 1 if kind == "tag" else n
+    return held
+
+
 def whole_pages(seen: list[tuple[str, str, int, tuple[str, int] | None]]) -> frozenset[int]:
-    """Numbers of elements that are furniture by their names alone, and yet hold an article: ``article`` or ``main``, or a first heading and three paragraphs."""
-    held: dict[int, Counter] = {}
-    for kind, what, _, element in seen:
-        if kind == "tag" and element and element[0].endswith("?"):
-            held.setdefault(element[1], Counter())[what] += 1
-    return frozenset(k for k, tags in held.items() if tags["article"] or tags["main"] or tags["h1"] and tags["p"] >= 3)
+    """Numbers of elements that are furniture by their names alone, or wrappers, and yet hold an article: ``article`` or
+    ``main``, or a first heading and three paragraphs; of a wrapper also menus, heads or feet of a page with a paragraph."""
+    found = set()
+    for (place, k), tags in _held(seen).items():
+        page = place[-1] == "!" and tags["p"] and (tags["nav"] or tags["header"] or tags["footer"] or tags["aside"])
+        if tags["article"] or tags["main"] or tags["h1"] and tags["p"] >= 3 or page:
+            found.add(k)
+    return frozenset(found)
 
 
 def _chosen(seen: list[tuple[str, str, int, tuple[str, int] | None]], w: dict[tuple[str, str], float]) -> str:
@@ -276,7 +287,7 @@ def _chosen(seen: list[tuple[str, str, int, tuple[str, int] | None]], w: dict[tu
             scores[at] += scores[i]
             scores[i] = 0.0
     for (place, _), at in first.items():
-        place = place.rstrip("?")
+        place = place.rstrip("?!")
         scores[at] = max(scores[at], most) if place == "top" else w.get(("element", place), other_tag)
     a, b = best_run(scores)
     blocks, now = [], []
@@ -295,21 +306,22 @@ def _chosen(seen: list[tuple[str, str, int, tuple[str, int] | None]], w: dict[tu
 
 
 def main_text(page: str | None, weights: dict[tuple[str, str], float] | None = None, names: dict[str, float] | None = None) -> str:
-    """The article of a page.  Names alone never empty a page: an element that holds an article is read as one,
-    and where nothing else is left, the named element with the most words is."""
+    """The article of a page.  Neither names nor a wrapper (a form, fieldset, dialog or label around all) empty a page: an
+    element that holds an article is read as one, and where nothing else is left, the one with the most words is."""
     if not page:
         return ""
     w, names = weights or trained_weights(), names or trained_names()
-    seen = list(events(page, names))
-    trusted = whole_pages(seen)
-    if trusted:
+    seen, trusted = list(events(page, names)), frozenset()
+    for _ in range(DEEPEST):
+        found = whole_pages(seen)
+        if not found:
+            break
+        trusted |= found
         seen = list(events(page, names, trusted))
     text = _chosen(seen, w)
     if not text:
-        sizes: Counter = Counter()
-        for _, _, n, element in seen:
-            if element and element[0].endswith("?"):
-                sizes[element[1]] += n
+        # a form is read for want of anything else only if it has paragraphs
+        sizes = {k: tags[""] for (place, k), tags in _held(seen).items() if place[-1] == "?" or tags["p"] >= 2}
         if sizes:
             text = _chosen(list(events(page, names, trusted | {max(sizes, key=lambda k: (sizes[k], -k))})), w)
     return text
