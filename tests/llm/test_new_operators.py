@@ -269,3 +269,46 @@ def test_rows_without_an_id_are_judged_by_their_texts(spark, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+# -- pages inside wrappers, groups of equal texts ----------------------------------------------
+
+
+@pytest.mark.parametrize("wrap", ["<form id='aspnetForm' action='/x'><input type='hidden' value='1'>{}</form>", "<fieldset>{}</fieldset>", "<dialog open>{}</dialog>", "<form><fieldset><label>{}</label></fieldset></form>"])
+def test_wrapped_pages_are_read_like_plain_ones(spark, wrap):
+    from rillspark.llm import html_text
+
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(40).collect()]
+    plain = [html_text.main_text(p) for p in pages]
+    inside = [re.sub(r"(?is)(<body[^>]*>)(.*)(</body>)", lambda m: m[1] + wrap.format(m[2]) + m[3], p) for p in pages]
+    assert sum(a != b for a, b in zip(inside, pages)) > 30
+    assert [html_text.main_text(p) for p in inside] == plain
+
+
+def test_forms_stay_furniture():
+    from rillspark.llm import html_text
+
+    prose = "Some words of an article that go on and on until they are many more than those of any form. " * 4
+    login = "<form action='/login'><p>Your name</p><label>Name</label><input><label>Word</label><input><button>Go</button></form>"
+    comment = "<form class='reply'><h3>Leave a reply</h3><p>Your address is not shown</p><p>Fields are needed</p><textarea></textarea></form>"
+    page = f"<html><body><nav><a href='/'>x</a></nav>{login}<article><h1>Head line</h1><p>{prose}</p></article>{comment}</body></html>"
+    assert html_text.main_text(page) == f"Head line\n{prose.strip()}"
+    assert html_text.main_text(f"<html><body>{login}</body></html>") == ""
+
+
+def test_equal_texts_stay_in_one_shard_unless_they_exceed_it(spark):
+    from rillspark.llm import sharding
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(3000)]
+    half = " ".join(word() for _ in range(1700))  # twice: about half of a shard
+    huge = " ".join(word() for _ in range(40))  # six hundred times: more than a shard
+    rows = list(enumerate(texts + [half] * 2 + [huge] * 600))
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    of = {x.doc_id: x.shard for x in got}
+    assert of[3000] == of[3001] and len({of[i] for i in range(3002, 3602)}) > 1
+    sizes = Counter()
+    for x in got:
+        sizes[x.shard] += x["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 0.03 * sum(sizes.values()) / 16
