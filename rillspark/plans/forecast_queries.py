@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillspark.operators import forecasts, leave_one_out, measures
+from rillspark.operators import forecasts, lag_windows, leave_one_out, measures
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -69,3 +69,15 @@ def leave_one_out_customers(t: Tables):
     c = t("customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("nation", F.col("c_nationkey").cast("double"))
     out = leave_one_out.predicted(c, "c_custkey", ["n", "mean", "top", "states", "nation"], "c_acctbal")
     return out.select("c_custkey", F.round("actual", 6).alias("actual"), F.round("predicted", 6).alias("predicted"), F.round("absolute_error", 6).alias("absolute_error"))
+
+
+@BOOK.query()
+def ridge_of_three_weeks(t: Tables):
+    """Daily amount and discount of each return flag by a ridge model of the 21 days before, fitted on the days before 1997; tested against numpy."""
+    d = t("lineitem").groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("amount"), F.avg("l_discount").alias("discount"), F.avg("l_extendedprice").alias("price"))
+    w = lag_windows.windows(d, "day", ["amount", "discount", "price"], ["amount", "discount"], 21, ["l_returnflag"])
+    model = lag_windows.fitted(w.where("day < '1997-01-01'"), ["amount", "discount"], 1.0)
+    if model is None:
+        return w.limit(0).select("l_returnflag", F.lit(0).cast("long").alias("days"), F.lit(0.0).alias("amount_mae"), F.lit(0.0).alias("discount_mae"))
+    p = lag_windows.predicted(w.where("day >= '1997-01-01'"), model, {"amount": (0, None), "discount": (0, 1)})
+    return p.groupBy("l_returnflag").agg(F.count("*").alias("days"), *(F.round(F.avg(F.abs(F.col(c) - F.col(f"predicted_{c}"))), 6).alias(f"{c}_mae") for c in ("amount", "discount")))
