@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -41,8 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Paths of the tables written by this driver and not yet removed, oldest first.
-_tables: list[str] = []
+class _Written(threading.local):
+    """Paths of the tables written by one thread of this driver and not yet removed, oldest first."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_tables = _Written()
 
 
 def written(df: DataFrame, name: str = "cut", by: Sequence[str] = ()) -> DataFrame:
@@ -54,7 +61,7 @@ def written(df: DataFrame, name: str = "cut", by: Sequence[str] = ()) -> DataFra
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    _tables.append(path)
+    _tables.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -62,18 +69,18 @@ def written(df: DataFrame, name: str = "cut", by: Sequence[str] = ()) -> DataFra
 
 def tables_so_far() -> int:
     """A mark for :func:`removed`."""
-    return len(_tables)
+    return len(_tables.paths)
 
 
 def removed(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = (), keep_last: bool = False) -> int:
-    """Removes the tables written since a mark, but those to keep and, if asked for, the last one; how many these were.
+    """Removes the tables that this thread wrote since a mark, but those to keep and, if asked for, the last one; how many these were.
 
     For the caller of a job, once its result is written or read; inside an operator, for the tables that
     its result does not need.
     """
-    kept = {df._written_at for df in keep} | set(_tables[-1:] if keep_last else ())
-    gone = [p for p in _tables[since:] if p not in kept]
-    _tables[since:] = [p for p in _tables[since:] if p in kept]
+    kept = {df._written_at for df in keep} | set(_tables.paths[-1:] if keep_last else ())
+    gone = [p for p in _tables.paths[since:] if p not in kept]
+    _tables.paths[since:] = [p for p in _tables.paths[since:] if p in kept]
     for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -79,3 +79,25 @@ def test_bundles(spark, tmp_path):
     assert p.columns == ["model", "d", "y", "risk"] and p.where("model = 'm1'").first().risk is None
     bundles.write_bundle(f"{tmp_path}/c", {"p": p}, {"n": 2}, "csv")
     assert json.loads((tmp_path / "c" / "facts.json").read_text())["tables"]["p"] == p.columns
+
+
+def test_threads_keep_their_own_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from rillspark.session import removed, tables_so_far, written
+
+    meet = Barrier(2)
+
+    def one(k):
+        mark = tables_so_far()
+        a, b = written(spark.range(k), "a"), None
+        meet.wait()  # both have written their first table
+        b = written(spark.range(k + 1), "b")
+        meet.wait()
+        gone = removed(spark, mark, keep=[b])
+        meet.wait()  # both have removed theirs
+        return gone, b.count(), a._written_at != b._written_at
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(one, (3, 5))) == [(1, 4, True), (1, 6, True)]
