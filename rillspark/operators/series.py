@@ -9,6 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The place of a row in the files of its table.
+PLACE = ("__file", "__row")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df``, a table read from Parquet files, with the place of each row."""
+    return df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
+def in_file_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of :func:`placed` dealt by ``keys``, those of a key in the order of the files.
+
+    Sums of doubles depend on their order in the last bits, and so do counts of distinct means and signs of differences.
+    Aggregated by these keys, a key's rows are added up one after the other, however the files are split.
+    """
+    return df.repartition(*keys).sortWithinPartitions(*keys, *PLACE)
+
+
 def daily(df: DataFrame, ts: str, value: str, *keys: str, how=F.avg) -> DataFrame:
     """One row a key and day; aggregation happens before the shuffle."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.to_date(ts).alias("day")).agg(how(value).alias("value"))

@@ -44,8 +44,8 @@ def _rounded(columns, digits: int = 6) -> str:
 
 
 def _days(t: Tables) -> DataFrame:
-    days = t("lineitem").groupBy(F.col("l_returnflag").alias("site"), F.to_date("l_shipdate").alias("day"))
-    return days.agg(*(F.expr(v).alias(k) for k, v in READINGS.items()))
+    rows = series.placed(t("lineitem")).withColumnsRenamed({"l_returnflag": "site"}).withColumn("day", F.to_date("l_shipdate"))
+    return series.in_file_order(rows, "site", "day").groupBy("site", "day").agg(*(F.expr(v).alias(k) for k, v in READINGS.items()))
 
 
 def _features(t: Tables) -> DataFrame:
