@@ -28,8 +28,9 @@ def in_file_order(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def daily(df: DataFrame, ts: str, value: str, *keys: str, how=F.avg) -> DataFrame:
-    """One row a key and day; aggregation happens before the shuffle."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.to_date(ts).alias("day")).agg(how(value).alias("value"))
+    """One row a key and day, of a table of files; rows are added up in their order."""
+    days = placed(df.where(F.col(value).isNotNull())).withColumn("day", F.to_date(ts))
+    return in_file_order(days, *keys, "day").groupBy(*keys, "day").agg(how(value).alias("value"))
 
 
 def by_day(*keys: str):
