@@ -4,9 +4,9 @@ A latent state emits the class of a word, the hash of its last characters among
 the class emits the word by its smoothed count.  The document's end is a token with a class
 of its own.  Transitions and emissions of classes are trained by Baum-Welch: each task adds
 up the expected counts of its documents, and Spark sums them over all tasks; ``ROUNDS`` rounds
-go over every training document.  They start from a model that is trained on a bounded
-sample: the ``SAMPLE_DOCS`` training documents of at most ``SAMPLE_CHARS`` characters with the smallest
-hashes, which no layout of the files changes.
+go over every training document.  They start from a model of pairs: how often each class, and each
+pair of neighbouring groups of classes (``GROUPS`` of them), stands in all training documents is
+counted in Spark, and the states are fitted to that table of fixed size.  No document is left out.
 
 Both recursions are exact over whole documents.  A document is read in stretches of ``STRETCH``
 tokens that advance together; what a stretch makes of each state before it is a small matrix,
@@ -38,7 +38,7 @@ from rillspark.llm.common import sliced, words
 from rillspark.session import written
 
 STATES, CLASSES, ROUNDS, STRETCH = 5, 2048, 2, 1024
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ROUNDS = 300, 8000, 12
+GROUPS, PAIR_ROUNDS = 512, 100
 END = b"\n"  # no word holds white space
 BLOCK_BYTES = 6_000_000
 #: Tokens whose expected counts are made together, which bounds the memory of a step.
@@ -228,24 +228,55 @@ def log_likelihoods(seq: np.ndarray, lengths: np.ndarray, model, size_of: int =
     return _messages(seq, lengths, model, size_of)[-1]
 
 
-def sample_of(docs: DataFrame, id_col: str, text_col: str, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[list[bytes]]:
-    """Tokens of the training documents of at most ``chars`` characters with the smallest hashes, by hash."""
-    few = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.expr(f"length(t) <= {chars} and crc32(cast(coalesce(cast(i as string), '') as binary)) % 10 != 0")).withColumn("h", F.xxhash64("i", "t"))
-    limit = few.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    if limit is None:
-        return []
-    rows = few.where(F.col("h") <= limit).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()  # ``most`` rows of ``chars`` characters
-    return [[*words(r["t"]), END] for r in rows]
+def pair_counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class, and each pair of groups of neighbouring tokens, stands in the training documents of a block table."""
+    cells = GROUPS * GROUPS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(cells + CLASSES, np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, lengths, tokens, classes = _sequences(b.slice(i, 1))
+                seq = classes[tokens]
+                train = np.repeat(np.array([not held_out(x) for x in ids]), lengths)
+                follows = train.copy()
+                follows[np.cumsum(lengths) - lengths] = False
+                at = np.flatnonzero(follows)
+                sums[:cells] += np.bincount((seq[at - 1] % GROUPS) * GROUPS + seq[at] % GROUPS, minlength=cells)
+                sums[cells:] += np.bincount(seq[train], minlength=CLASSES)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "n"])
+
+    # at most groups^2 + classes sums, whatever the corpus
+    got = table.select("ids", "lengths", "tokens", "classes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros(cells + CLASSES)
+    flat[got["at"].to_numpy(np.int64)] = got["n"].to_numpy()
+    return flat[cells:], flat[:cells].reshape(GROUPS, GROUPS)
+
+
+def paired_model(singles: np.ndarray, pairs: np.ndarray, states: int = STATES, rounds: int = PAIR_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model whose states best explain a table of neighbouring groups, by expectation and maximisation over the table.
+
+    A class is dealt to the states as its group is, in proportion to its own count.
+    """
+    _, a, _ = first_model(states)
+    e = (np.random.default_rng(SEED).random((len(pairs), states)) + 0.5) * (pairs.sum(0) + pairs.sum(1) + DELTA)[:, None]
+    e, both = e / e.sum(0), a / states
+    for _ in range(rounds):
+        share = pairs / (e @ both @ e.T)
+        new = both * (e.T @ share @ e) + DELTA
+        e = e * (share @ e @ both.T + share.T @ e @ both) + DELTA
+        e, both = e / e.sum(0), new / new.sum()
+    pi = both.sum(1)
+    of_group = e * pi
+    of_group /= of_group.sum(1, keepdims=True)
+    n = singles.sum()
+    return from_counts(n * pi, n * both, singles[:, None] * of_group[np.arange(CLASSES) % len(pairs)])
 
 
 def trained(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS):
     """The model after Baum-Welch over the training documents of a block table."""
-    model = first_model()
-    sample = [np.array([word_class(w) for w in x]) for x in sample_of(docs, id_col, text_col)]
-    if sample:
-        seq, lengths = np.concatenate(sample), np.array([len(s) for s in sample])
-        for _ in range(SAMPLE_ROUNDS):
-            model = from_counts(*expected(seq, lengths, model))
+    model = paired_model(*pair_counts(table))
     k = len(model[0])
     for _ in range(rounds):
 
@@ -282,7 +313,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     of_word = Window.partitionBy("word")
     summed = pairs.select("block", "place", F.sum("n").over(of_word).alias("c"), F.when(F.col("block") == F.min("block").over(of_word), F.col("class")).alias("class")).where("c > 0")
     # the class stands at one row of each word, for the statistics of classes
-    back = written(summed.groupBy("block").agg(F.collect_list(F.struct("place", "c", "class")).alias("known")), "counts")
+    back = written(summed.groupBy("block").agg(F.collect_list(F.struct("place", "c", "class")).alias("known")), "counts", drop_shuffles=True)
     by_class = np.zeros((2, CLASSES))
     for r in back.select(F.inline("known")).where("class is not null").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # one row for each class
         by_class[:, r["class"]] = r["c"], r["v"]

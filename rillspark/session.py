@@ -52,15 +52,27 @@ class _Written(threading.local):
 _tables = _Written()
 
 
-def written(df: DataFrame, name: str = "cut", by: Sequence[str] = ()) -> DataFrame:
+DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str = "cut", by: Sequence[str] = (), drop_shuffles: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder, in folders by some columns if asked for, and read again.
 
+    With ``drop_shuffles`` the shuffle files of the job go as soon as the table stands, not when the driver collects garbage.
+
     Cuts the lineage: an executor that is lost afterwards costs no earlier stage.  The table
     stays until :func:`removed` takes it away.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    was = spark.conf.get(DROPPED, None)
+    if drop_shuffles:
+        spark.conf.set(DROPPED, "true")
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(DROPPED, was) if was else spark.conf.unset(DROPPED)
     _tables.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
