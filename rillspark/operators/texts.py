@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,7 +140,8 @@ def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 12
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # windows overlap, so a task holds the chunks of some megabytes of text at a time, not of a whole batch
+        for b in _by_size(batches, CHUNKED_BYTES):
             rows, found = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 for k, (x, y) in enumerate(spans(t or "")):
@@ -150,6 +153,19 @@ def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 12
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ordinal long, char_start long, char_end long, chunk string")
 
 
+#: Bytes of text whose chunks are made together.
+CHUNKED_BYTES = 4_000_000
+
+
+def _by_size(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose second column, of texts, ends within the next ``most`` bytes; no text is cut."""
+    for b in batches:
+        n = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+        ends = [*(np.flatnonzero(np.diff(n)) + 1).tolist(), b.num_rows]
+        for start, end in zip([0, *ends], ends):  # noqa: B905
+            yield b.slice(start, end - start)
+
+
 _PARAGRAPH = re.compile(r"\S[^\n]*")
 
 
