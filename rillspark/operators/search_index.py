@@ -28,15 +28,19 @@ def built(weights: DataFrame, doc: str, docs_of_block: int = DOCS_OF_BLOCK, buck
     A block is a hash of the document, of about ``docs_of_block`` documents; so a row has a bounded size and a
     term that every document holds is as many rows as there are blocks.  Equal postings count once, at their highest weight.
     """
-    n = weights.select(doc).distinct().count()
+    # the postings are made once: their documents are counted on what was written
+    known = written(weights.where(F.col(doc).isNotNull() & F.col("term").isNotNull()).select("term", F.col(doc).alias("doc"), "weight"), "weights", drop_shuffles=True)
+    n = known.select("doc").distinct().count()
     blocks = max(1, -(-n // docs_of_block))
-    once = weights.where(F.col(doc).isNotNull() & F.col("term").isNotNull()).groupBy("term", F.col(doc).alias("doc")).agg(F.max("weight").alias("weight"))
-    lists = once.groupBy("term", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc", "weight"))).alias("list"))
+    # equal postings meet in their list, so they need no shuffle of their own: the last of a document has its highest weight
+    both = F.array_sort(F.collect_list(F.struct("doc", "weight")))
+    lists = known.groupBy("term", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")).agg(both.alias("all"))
+    lists = lists.select("term", "block", F.filter("all", lambda x, i: (i == F.size("all") - 1) | (F.get("all", i + 1)["doc"] != x["doc"])).alias("list"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     rows = lists.select(bucket.alias("bucket"), "term", "block", F.array_max(F.transform("list", lambda x: x["weight"])).alias("top"), F.transform("list", lambda x: x["doc"]).alias("docs"), F.transform("list", lambda x: x["weight"]).alias("weights"))
     # a bucket of a common term is spread over ranges of (term, block)
     spread = rows.repartitionByRange(F.col("bucket"), F.col("term"), F.col("block")).sortWithinPartitions("bucket", "term", "block")
-    return written(spread, "index", by=["bucket"])
+    return written(spread, "index", by=["bucket"], drop_shuffles=True)
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:
@@ -68,9 +72,13 @@ def searched(index: DataFrame, questions: DataFrame, query: str, k: int, buckets
     reach = written(heads.groupBy("query", "block").agg(F.sum(F.col("w") * F.col("top")).alias("reach"), F.sum("n").alias("postings")), "reach")
 
     def scores(chosen: DataFrame) -> DataFrame:
-        lists = rows.join(asked, "term").join(chosen.select("query", "block"), ["query", "block"], "left_semi")
-        each = lists.select("query", "w", F.explode(F.arrays_zip("docs", "weights")).alias("p"))
-        summed = each.groupBy("query", F.col("p.docs").alias("doc")).agg(F.sum(F.col("w") * F.col("p.weights")).alias("s"))
+        # the questions that read a list, told by its head alone: postings are not repeated for each question
+        told = heads.select("term", "block", "query", "w").join(chosen.select("query", "block"), ["query", "block"], "left_semi")
+        asking = told.groupBy("term", "block").agg(F.collect_list(F.struct("query", "w")).alias("asking"))
+        # a block's lists meet in one task, so a document is added up there, whatever the number of tasks
+        lists = rows.select("term", "block", "docs", "weights").join(asking, ["term", "block"]).repartition("block")
+        each = lists.select("block", F.explode("asking").alias("a"), "docs", "weights").select("block", "a.query", "a.w", F.explode(F.arrays_zip("docs", "weights")).alias("p"))
+        summed = each.groupBy("block", "query", F.col("p.docs").alias("doc")).agg(F.sum(F.col("w") * F.col("p.weights")).alias("s"))
         return top_of_each(summed.select("query", "doc", F.round("s", DIGITS).alias("score")), ["query"], [F.desc("score"), F.col("doc")], k)
 
     order = [F.desc("reach"), F.col("block")]

@@ -53,8 +53,9 @@ def tf_idf(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n_docs"))
     w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    length = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return w.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("length")).alias("weight"))
+    # a document's terms meet once, for its length; they are not made again for a join
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.where(F.col(id_col).isNotNull()).select(id_col, "term", (F.col("w") / length).alias("weight"))
 
 
 # -- pages of blocks ----------------------------------------------------------------------

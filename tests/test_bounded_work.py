@@ -1,0 +1,46 @@
+"""Work of bounded size: chunks of big batches, postings that are made once."""
+
+import random
+from collections import defaultdict
+
+import pyarrow as pa
+
+from rillspark.operators import search_index, texts
+
+
+def test_chunks_of_a_batch_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(texts, "CHUNKED_BYTES", 100)
+    rows = [(i, None if i % 7 == 0 else "\n".join("p%d é" % j * (i % 5) for j in range(i % 11))) for i in range(60)]
+    batch = pa.RecordBatch.from_pylist([{"i": i, "t": t} for i, t in rows], pa.schema([("i", pa.int64()), ("t", pa.string())]))
+    pieces = list(texts._by_size(iter([batch, batch.slice(0, 0)]), 100))
+    assert pa.Table.from_batches(pieces).to_pylist() == batch.to_pylist() and len(pieces) > 3
+    longest = max(len((t or "").encode()) for _, t in rows)
+    assert all(sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 100 + longest for p in pieces)
+    docs = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    got = defaultdict(list)
+    for x in texts.paragraph_chunks(docs, "i", "t", 20, 5).orderBy("i", "ordinal").collect():
+        got[x.i].append((x.ordinal, x.char_start, x.char_end, x.chunk))
+    assert all(c == dict(rows)[i][a:b] for i, found in got.items() for _, a, b, c in found)
+    assert set(got) == {i for i, t in rows if t and t.strip()}
+
+
+def test_an_index_makes_its_postings_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    r = random.Random(2)
+    rows = [(d, f"t{k}", r.random()) for d in range(200) for k in r.sample(range(30), 5)]
+    rows += [(d, t, w / 2) for d, t, w in rows[:50]]  # a posting twice counts at its highest weight
+    made = spark.createDataFrame(rows, "doc long, term string, weight double").mapInArrow(counted, "doc long, term string, weight double")
+    index = search_index.built(made, "doc", docs_of_block=30, buckets=4)
+    assert runs.value == len(rows)
+    got = {(x.term, d): w for x in index.collect() for d, w in zip(x.docs, x.weights, strict=True)}
+    want = defaultdict(float)
+    for d, t, w in rows:
+        want[t, d] = max(want[t, d], w)
+    assert got == want and sum(len(x.docs) for x in index.collect()) == len(want)
+    assert all(x.top == max(x.weights) and x.docs == sorted(x.docs) for x in index.collect())
