@@ -53,6 +53,26 @@ def test_similarity_join_of_two_tables(spark):
     assert similarity.joined(a.limit(0), b, "x", similarity.characters(F.col("x")), 0.75, "dice", "y", similarity.characters(F.col("y"))).count() == 0
 
 
+@pytest.mark.parametrize("measure,least", [("dice", 0.7), ("jaccard", 0.5)])
+def test_short_and_long_bags_in_many_parts_give_all_pairs(spark, measure, least, monkeypatch):
+    monkeypatch.setattr(similarity, "SHORT", 6)
+    monkeypatch.setattr(similarity, "MET_ROWS", 3)
+    one, two = names(90, 8), names(70, 9)
+    bags = {t: bag(t) for t in [*one, *two]}
+    a, b = spark.createDataFrame([(t,) for t in one], "t string"), spark.createDataFrame([(t,) for t in two], "t string")
+    for right, others in ((b, two), (None, one)):
+        got = [(r.left, r.right, round(r.similarity, 9)) for r in similarity.joined(a, right, "t", similarity.padded_grams(F.col("t")), least, measure).collect()]
+        want = {(p, q, round(s, 9)) for p in one for q in others if (right is not None or p < q) and (s := measured(bags[p], bags[q], measure)) >= least - 1e-12}
+        assert sorted(got) == sorted(want) and {len(p) > 6 for p, *_ in want} == {True, False}
+
+
+def test_pairs_of_few_bytes_are_met_in_many_tasks(spark):
+    one = spark.createDataFrame([(t,) for t in names(1500, 10, "abcdefgh")], "t string")
+    pairs = similarity.joined(one, None, "t", similarity.padded_grams(F.col("t")), 0.6)
+    shares = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(shares) >= 4 and max(shares) < 0.6 * sum(shares)
+
+
 def test_close_names_are_those_of_matching_blocks(spark):
     tokens, known = names(50, 6, "abcdefgh"), names(80, 7, "abcdefgh")
     got = {(r.token, r.name, round(r.ratio, 9)) for r in linking.close_names(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(t,) for t in known], "name string")).collect()}
