@@ -81,12 +81,19 @@ def without_heads(blocks: DataFrame, heads: DataFrame, doc: str, text: Column) -
 
 def reading_order(blocks: DataFrame, page: list[str], x0: str, x1: str, y0: str, width: float, tie: str) -> DataFrame:
     """``blocks`` with column (0 or 1) and ordinal: two columns where three blocks or more are on either side and most are narrow."""
-    w = Window.partitionBy(*page)
-    left = (F.col(x0) + F.col(x1)) / 2 < width / 2 * 0.98
+    # one order serves all windows, so a task sorts its rows once: a column's ordinals are running counts in it
+    w = Window.partitionBy(*page).orderBy(F.round(y0, 1), x0, tie)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.coalesce((F.col(x0) + F.col(x1)) / 2 < width / 2 * 0.98, F.lit(False))
+    right = F.coalesce((F.col(x0) + F.col(x1)) / 2 >= width / 2 * 0.98, F.lit(False))
     narrow = ((F.col(x1) - F.col(x0)) < width * 0.7).cast("int")
-    two = (F.count_if(left).over(w) >= 3) & (F.count_if(~left).over(w) >= 3) & (F.sum(narrow).over(w) / F.count("*").over(w) > 0.6)
-    placed = blocks.withColumn("column", F.when(two & ~left, 1).otherwise(0))
-    return placed.withColumn("ordinal", F.row_number().over(w.orderBy("column", F.round(y0, 1), x0, tie)))
+    counted = blocks.select("*", F.count_if(left).over(whole).alias("__left"), F.count_if(right).over(whole).alias("__right"), (F.sum(narrow).over(whole) / F.count("*").over(whole) > 0.6).alias("__narrow"), F.count_if(right).over(so_far).alias("__before"), F.row_number().over(w).alias("__row"), F.count("*").over(whole).alias("__rows"))
+    two = (F.col("__left") >= 3) & (F.col("__right") >= 3) & F.col("__narrow")
+    placed = counted.withColumn("column", F.when(two & right, 1).otherwise(0))
+    # rows of the first column stand in order without those of the second, which come after all of the first
+    ordinal = F.when(~two | two.isNull(), F.col("__row")).when(right, F.col("__rows") - F.col("__right") + F.col("__before")).otherwise(F.col("__row") - F.col("__before"))
+    return placed.withColumn("ordinal", ordinal.cast("int")).drop("__left", "__right", "__narrow", "__before", "__row", "__rows")
 
 
 def titles(blocks: DataFrame, doc: str, text: str, font: str, y0: str, shortest: int = 5, longest: int = 200) -> DataFrame:

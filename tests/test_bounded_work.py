@@ -44,3 +44,22 @@ def test_an_index_makes_its_postings_once(spark):
         want[t, d] = max(want[t, d], w)
     assert got == want and sum(len(x.docs) for x in index.collect()) == len(want)
     assert all(x.top == max(x.weights) and x.docs == sorted(x.docs) for x in index.collect())
+
+
+def test_a_page_is_sorted_once_for_its_reading_order(spark):
+    r = random.Random(4)
+    rows = [(p, i, r.choice([None, 0.0, 5.0, 60.0]), r.choice([20.0, 80.0]), float(r.randrange(4))) for p in range(120) for i in range(r.randint(1, 9))]
+    blocks = spark.createDataFrame(rows, "p long, i long, x0 double, w double, y0 double").selectExpr("p", "i", "x0", "x0 + w AS x1", "y0")
+    out = texts.reading_order(blocks, ["p"], "x0", "x1", "y0", 100.0, "i")
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window ") == 1
+    got, pages = {(x.p, x.i): (x.column, x.ordinal) for x in out.collect()}, defaultdict(list)
+    for p, i, x0, w, y0 in rows:
+        pages[p].append((y0, x0 is not None, x0 or 0.0, i, None if x0 is None else x0 + w / 2 < 49, x0 is not None and w < 70))
+    both = 0
+    for p, page in pages.items():
+        known = [b for b in page if b[4] is not None]
+        two = sum(b[4] for b in known) >= 3 and sum(not b[4] for b in known) >= 3 and sum(b[5] for b in known) / len(page) > 0.6
+        both += two
+        placed = sorted((1 if two and b[4] is False else 0, *b[:4]) for b in page)
+        assert {(p, b[4]): (b[0], k) for k, b in enumerate(placed, 1)}.items() <= got.items()
+    assert both and len(got) == len(rows)
