@@ -196,7 +196,8 @@ def linked(texts: DataFrame, key: str, text: str, entities: DataFrame, table: Da
     are also linked by near names.  Of equal scores the way of linking and then the surface that come last in the
     alphabet stand; links are ranked by score, then degree, then name.  Null texts have no links.
     """
-    asked = texts.where(F.col(text).isNotNull()).select(key, text)
+    # read by the automata and by each kind of near names
+    asked = written(texts.where(F.col(text).isNotNull()).select(key, text), "asked")
     direct = written(occurrences(asked, key, text, table).join(table, "surface").groupBy(key, "node").agg(F.max(F.struct("score", "via", "surface")).alias("b")), "links")
     enough = direct.groupBy(key).count().where(F.col("count") >= FEW_LINKS).select(key)
     more = fuzzy_links(asked.join(enough, key, "left_anti"), key, text, entities).groupBy(key, "node").agg(F.max(F.struct("score", "via", "surface")).alias("b"))
