@@ -39,32 +39,27 @@ class Machine(StatefulProcessor):
         return (self.first is None or state in self.first) if before is None else (before, state) in self.allowed
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = list(self.waiting.get()) if self.waiting.exists() else []
+        new = []
         for part in rows:
-            at = part["at"].astype("int64")
-            known += [(int(a), int(i), s) for a, i, s in zip(at, part["id"], part["state"], strict=True)]
-        if known:
-            self.waiting.put(known)
-            self.wake(known)
+            new += zip(part["at"].tolist(), part["id"].tolist(), part["state"].tolist(), strict=True)
+        if new:
+            self.waiting.appendList(new)
+            self.wake(min(k[0] for k in new) // 1000)
         return iter(())
 
-    def wake(self, known: list[tuple]) -> None:
-        """One timer: for the next change or the time-out, whichever comes first."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        times = [k[0] for k in known]
-        if self.now.exists():
-            state, since = self.now.get()
-            if state not in self.final:
-                times.append(since + self.limit)
-        if times:
-            self.handle.registerTimer(min(times) // 1000)
+    def wake(self, at_ms: int) -> None:
+        """One timer, the earliest: it stands for all that waits, so none of that is read for a later change."""
+        there = list(self.handle.listTimers())
+        if not there or at_ms < min(there):
+            for t in there:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        known = sorted(tuple(k) for k in self.waiting.get()) if self.waiting.exists() else []
+        known = sorted(tuple(k) for k in self.waiting.get())
         ready, rest = [k for k in known if k[0] // 1000 <= until], [k for k in known if k[0] // 1000 > until]
-        state, since = self.now.get() if self.now.exists() else (None, None)
+        state, since = self.now.get() or (None, None)
         out = []
 
         def overdue(at_ms: int) -> bool:
@@ -87,7 +82,13 @@ class Machine(StatefulProcessor):
             self.waiting.put(rest)
         else:
             self.waiting.clear()
-        self.wake(rest)
+        times = [k[0] for k in rest]
+        if state is not None and state not in self.final:
+            times.append(since + self.limit)
+        # the timer that woke the key goes now
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        if times:
+            self.handle.registerTimer(min(times) // 1000)
         if out:
             frame = pd.DataFrame(out, columns=["id", "at", "before", "state", "outcome"])
             frame.insert(0, "key", key[0])

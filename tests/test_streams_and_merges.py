@@ -133,3 +133,18 @@ def test_derived_files_are_registered_once(spark, tmp_path):
     merging.registered(files(("a", "w", "p", "two"), ("a", "v", "p", "three"), ("c", "u", "r", "")), 1, path)
     got = {(r.dataset, r.name, r.version, r["size"]) for r in merging.read(spark, path).collect()}
     assert got == {("a", "x", 1, 3), ("a", "y", 2, 3), ("b", "x", 1, 3), ("a", "v", 3, 5), ("c", "u", 1, 0)}
+
+
+def test_a_change_reads_nothing_that_waits():
+    import pandas as pd
+    from unittest.mock import MagicMock
+
+    m, handle = lifecycles.Machine(ALLOWED, ["open"], ["done"], dt.timedelta(minutes=1)), MagicMock()
+    m.init(handle)
+    m.now, m.waiting = MagicMock(), MagicMock()
+    handle.listTimers.return_value = iter([9])
+    assert not list(m.handleInputRows((1,), iter([pd.DataFrame({"at": [7000, 8000], "id": [1, 2], "state": ["open", "work"]})]), None))
+    assert not m.waiting.get.called and not m.waiting.exists.called and not m.now.method_calls
+    m.waiting.appendList.assert_called_once_with([(7000, 1, "open"), (8000, 2, "work")])
+    handle.deleteTimer.assert_called_once_with(9)
+    handle.registerTimer.assert_called_once_with(7)
