@@ -7,14 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Signs that folding takes away, and what it turns into a blank.
+_BRACKETS, _BLANKS = "()[]{}<>（）［］｛｝＜＞【】《》「」", "\t\n\x0b\f\r　"
 
 
 def folded(c: Column, keep_spaces: bool = False) -> Column:
     """Full-width forms to ASCII, lower case, without brackets and (unless kept) white space."""
-    wide = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)) + "　"
-    plain = "".join(chr(i) for i in range(0x21, 0x7F)) + " "
-    flat = F.regexp_replace(F.lower(F.translate(c, wide, plain)), r"[()\[\]{}<>【】《》「」]", "")
-    return F.trim(F.regexp_replace(flat, r"\s+", " ")) if keep_spaces else F.regexp_replace(flat, r"\s+", "")
+    wide = "".join(w for w in map(chr, range(0xFF01, 0xFF5F)) if w not in _BRACKETS)
+    plain = "".join(chr(ord(w) - 0xFEE0) for w in wide)
+    # one reading of the text: what has no counterpart is taken away
+    if not keep_spaces:
+        return F.translate(F.lower(c), wide + _BRACKETS + _BLANKS + " ", plain)
+    flat = F.translate(F.lower(c), wide + _BLANKS + _BRACKETS, plain + " " * len(_BLANKS))
+    return F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, "  +", " ")).otherwise(flat))
 
 
 def variants(c: Column) -> Column:

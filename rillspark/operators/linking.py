@@ -2,13 +2,16 @@
 
 Surfaces are texts that stand for an entity, each with the strength of its kind.  They are dealt out in shards by their
 first three characters; a text goes to the shards that its own runs of up to three characters lead to, and
-one automaton (Aho and Corasick) finds all surfaces of a shard in one reading of the text.  Neither the surfaces nor
-the texts are ever in one place: tasks hold a shard and a chunk of texts of bounded size.
+one automaton (Aho and Corasick) finds all surfaces of a shard in one reading of the text.  Where one shard holds them all,
+it goes to the texts instead, which stay where they are read.  Neither the surfaces beyond a shard nor the
+texts are ever in one place: tasks hold a shard and a chunk of texts of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +23,9 @@ from rillspark.operators import similarity
 from rillspark.operators.ranking import top_of_each
 from rillspark.session import written
 
+if TYPE_CHECKING:
+    import ahocorasick
+
 #: The strength of each kind of link, and limits of the weaker kinds.
 STRENGTHS = {"exact": 1.0, "synonym": 0.90, "bilingual": 0.85, "contained": 0.80, "contained_short": 0.65, "related": 0.55, "evidence_alias": 0.50, "jaccard": 0.40}
 FUZZY_BASE, FUZZY_SPAN, LATIN_RATIO, OTHER_RATIO, LEAST_JACCARD, SHORTEST_JACCARD = 0.60, 0.20, 0.82, 0.70, 0.60, 3
@@ -27,8 +33,8 @@ EVIDENCE_LATIN_SHARE, EVIDENCE_TOKENS, EVIDENCE_SHORTEST = 0.6, 6, 4
 FEW_LINKS = 3
 CLOSEST = 3
 
-#: Surfaces of an automaton and characters of the texts that meet it in one task.
-SHARD_SURFACES, CHUNK_CHARS = 50_000, 32_000_000
+#: Surfaces of an automaton, their characters, and characters of the texts that are sent to it in one task.
+SHARD_SURFACES, SHARD_CHARS, CHUNK_CHARS = 50_000, 2_000_000, 32_000_000
 HAN = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 _EDGE = re.compile("[a-z0-9]")
 
@@ -76,63 +82,82 @@ def _shard(c: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(F.substring(c, 1, 3)), F.lit(n)).cast("int")
 
 
-def _shards_of_text(n: int) -> Column:
-    """The shards of all surfaces that may start somewhere in the folded or the spaced text."""
+def _shards_of_text(n: int, forms: Sequence[str]) -> Column:
+    """The shards of all surfaces that may start somewhere in the forms (columns) of the text that are searched."""
     if n == 1:
         return F.array(F.lit(0))
 
     def runs(c: str, size: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(size)))
 
-    return F.array_distinct(F.transform(F.concat(*(runs(c, size) for c in ("spaced", "tight") for size in (1, 2, 3))), lambda r: _shard(r, n)))
+    return F.array_distinct(F.transform(F.concat(*(runs(c, size) for c in forms for size in (1, 2, 3))), lambda r: _shard(r, n)))
 
 
-def _found(found_in: pa.Table, text_type: pa.DataType, table: pa.Table) -> pa.Table:
+def _machine(surfaces: Sequence[str], han: Sequence[bool]) -> ahocorasick.Automaton:
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for s, han in zip(table.column("surface").to_pylist(), table.column("han").to_pylist(), strict=True):
-        machine.add_word(s, (s, han))
-    ids, hits = [], []
+    for s, h in zip(surfaces, han, strict=True):
+        machine.add_word(s, (s, h))
     if len(machine):
         machine.make_automaton()
-        for k, (spaced, tight) in enumerate(zip(found_in.column("spaced").to_pylist(), found_in.column("tight").to_pylist(), strict=True)):
-            here = set()
+    return machine
+
+
+def _found(found_in: pa.Table, text_type: pa.DataType, machine: ahocorasick.Automaton) -> pa.Table:
+    ids, hits = [], []
+    if len(machine):
+        for k, (spaced, tight) in enumerate(zip(found_in.column("spaced"), found_in.column("tight"), strict=True)):
+            spaced, here = spaced.as_py(), set()
             for end, (s, han) in machine.iter(spaced):
                 start = end - len(s) + 1
                 if not han and not (start and _EDGE.match(spaced[start - 1])) and not (end + 1 < len(spaced) and _EDGE.match(spaced[end + 1])):
                     here.add(s)
             # scripts without blanks are looked for in the text without blanks
-            here.update(s for _, (s, han) in machine.iter(tight) if han)
+            here.update(s for _, (s, han) in machine.iter(tight.as_py()) if han)
             ids += [k] * len(here)
             hits += sorted(here)
     return pa.table({"text_id": found_in.column("text_id").combine_chunks().take(pa.array(ids, pa.int64())).cast(text_type), "surface": pa.array(hits, pa.string())})
 
 
-def occurrences(texts: DataFrame, key: str, text: str, listed: DataFrame, shard_surfaces: int = SHARD_SURFACES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def occurrences(texts: DataFrame, key: str, text: str, listed: DataFrame, shard_surfaces: int = SHARD_SURFACES, chunk_chars: int = CHUNK_CHARS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """key, surface: the surfaces (column ``surface``, folded) that stand in each text, once each.
 
     A surface of Latin letters stands between characters that are neither a-z nor digits; one with a Han character anywhere.
+    Surfaces of one shard go to where the texts are; texts move only if there are more.
     """
-    every = listed.select("surface").where(F.length("surface") > 0).distinct()
-    n = max(1, -(-every.count() // shard_surfaces))
-    told = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("text_id"), words.folded(F.col(text), keep_spaces=True).alias("spaced"), words.folded(F.col(text)).alias("tight"))
-    chars = told.agg(F.sum(F.length("tight"))).first()[0] or 0
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    every = listed.select("surface").where(F.length("surface") > 0).distinct().withColumn("han", F.col("surface").rlike(HAN))
+    size = every.agg(F.count("*").alias("n"), F.sum(F.length("surface")).alias("chars"), F.max("han").alias("han")).first()
+    n = max(1, -(-size["n"] // shard_surfaces), -(-(size["chars"] or 0) // shard_chars))
+    forms = ["spaced", "tight"] if size["han"] else ["spaced"]
+    tight = words.folded(F.col(text)) if size["han"] else F.lit("")
+    told = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("text_id"), words.folded(F.col(text), keep_spaces=True).alias("spaced"), tight.alias("tight"))
+    kind = told.schema["text_id"].dataType
+    arrow, schema = to_arrow_type(kind), f"text_id {kind.simpleString()}, surface string"
+    if n == 1:
+        few = every.toArrow()  # a shard at most
+        shared = texts.sparkSession.sparkContext.broadcast((few.column("surface").to_pylist(), few.column("han").to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = _machine(*shared.value)
+            for batch in batches:
+                yield from _found(pa.Table.from_batches([batch]), arrow, machine).to_batches()
+
+        return told.mapInArrow(run, schema).select(F.col("text_id").alias(key), "surface")
+    chars = texts.agg(F.sum(F.length(text))).first()[0] or 0
     chunks = max(1, -(-chars // chunk_chars), min(texts.sparkSession.sparkContext.defaultParallelism, -(-chars // 100_000)))
-    keyed = every.select("surface", F.col("surface").rlike(HAN).alias("han"), _shard(F.col("surface"), n).alias("shard"))
+    keyed = every.withColumn("shard", _shard(F.col("surface"), n))
     # a shard of a very common start is split further; every text that leads to it meets all of its parts
     many = {r["shard"]: -(-r["count"] // (2 * shard_surfaces)) for r in keyed.groupBy("shard").count().where(F.col("count") > 2 * shard_surfaces).collect()}  # one row a shard at most
     parts = F.lit(1)
     if many:
         parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in many.items() for x in kv)), F.col("shard")), F.lit(1))
     mine = keyed.withColumn("part", F.pmod(F.xxhash64("surface", F.lit(1)), parts).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(int(chunks) - 1))))
-    sent = told.withColumn("shard", F.explode(_shards_of_text(n))).withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))).withColumn("chunk", F.pmod(F.xxhash64("spaced"), F.lit(int(chunks))).cast("int"))
+    sent = told.withColumn("shard", F.explode(_shards_of_text(n, forms))).withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))).withColumn("chunk", F.pmod(F.xxhash64("spaced"), F.lit(int(chunks))).cast("int"))
     place = ["shard", "part", "chunk"]
-    kind = told.schema["text_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(kind)
-    hits = sent.groupBy(*place).cogroup(mine.groupBy(*place)).applyInArrow(lambda left, right: _found(left, arrow, right), f"text_id {kind.simpleString()}, surface string")
+    hits = sent.groupBy(*place).cogroup(mine.groupBy(*place)).applyInArrow(lambda left, right: _found(left, arrow, _machine(right.column("surface").to_pylist(), right.column("han").to_pylist())), schema)
     return hits.select(F.col("text_id").alias(key), "surface")
 
 

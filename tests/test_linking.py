@@ -8,6 +8,7 @@ from difflib import SequenceMatcher, get_close_matches
 import pytest
 from pyspark.sql import functions as F
 
+from rillspark.functions import words
 from rillspark.operators import linking, similarity
 
 
@@ -186,3 +187,26 @@ def test_occurrences_in_long_and_repeated_texts(spark):
     listed = spark.createDataFrame([(s,) for s in [*found, "", "aa b"]], "surface string")
     got = {(x.id, x.surface) for x in linking.occurrences(spark.createDataFrame(texts + texts[1:3], "id long, text string"), "id", "text", listed, 7, 5000).distinct().collect()}
     assert got == {(i, s) for i, t in texts for s in {*found, "aa b"} if re.search(rf"(?<![a-z0-9]){s}(?![a-z0-9])", t)}
+
+
+def test_texts_stay_where_they_are_read_if_one_shard_holds_all_surfaces(spark):
+    texts = [(i, t) for i, t in enumerate(["Light (green) lakes", "the light\n green\u3000lakes", "twilight greens", "浊 度 and light", None, "", "light light"])]
+    d = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    for surfaces, want in ((["light", "green lakes", "light green"], {(0, "light"), (0, "light green"), (0, "green lakes"), (1, "light"), (1, "light green"), (1, "green lakes"), (3, "light"), (6, "light")}), (["浊度", "and"], {(3, "浊度"), (3, "and")}), ([], set())):
+        listed = spark.createDataFrame([(s,) for s in surfaces], "surface string")
+        still, moved = (linking.occurrences(d, "id", "text", listed, **by) for by in ({}, {"shard_surfaces": 1}))
+        assert sorted(map(tuple, still.collect())) == sorted(map(tuple, moved.collect())) == sorted(want)
+        plan = still._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "CoGroup" not in plan
+        long = linking.occurrences(d, "id", "text", listed, shard_chars=3)
+        assert sorted(map(tuple, long.collect())) == sorted(want) and ("CoGroup" in long._jdf.queryExecution().optimizedPlan().toString()) == bool(surfaces)
+
+
+def test_folding_is_that_of_plain_patterns(spark):
+    signs = [chr(c) for c in [*range(1, 0x250), 0x3A3, *range(0x2000, 0x2010), *range(0x3000, 0x3020), *range(0xFF00, 0xFF70)]]
+    rows = [t for c in signs for t in (c, f" {c} {c}a", f"ΑΣ{c}", f"ΑΣ{c} Β", f"{c}{c}Σ", f"Ａ{c}Σ\t\n( {c}")]
+    wide = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)) + "\u3000"
+    flat = F.regexp_replace(F.lower(F.translate("t", wide, "".join(map(chr, range(0x21, 0x7F))) + " ")), r"[()\[\]{}<>【】《》「」]", "")
+    d = spark.createDataFrame([(t,) for t in [*rows, "", None]], "t string")
+    both = d.select(words.folded(F.col("t")).alias("a"), F.regexp_replace(flat, r"\s+", "").alias("b"), words.folded(F.col("t"), keep_spaces=True).alias("c"), F.trim(F.regexp_replace(flat, r"\s+", " ")).alias("d"))
+    assert [r for r in both.collect() if r.a != r.b or r.c != r.d] == []
