@@ -13,6 +13,15 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Like ``round`` of the SQL: the whole number nearest to ``c`` times a power of ten (halves go away from zero), with the sign of ``c`` even at zero.
+
+    Spark's ``round`` looks at the decimal text of ``c`` instead, so the two differ at ties.
+    """
+    r = F.round(c * 10.0**digits) / 10.0**digits
+    return F.when((r == 0) & (c < 0), F.lit(-0.0)).otherwise(r)
+
+
 def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.functions.scores import inverse_quantile_score, quantile_score
+from rillspark.functions.scores import inverse_quantile_score, quantile_score, rounded
 from rillspark.operators.mechanism import ranked_labels
 from rillspark.operators.quantiles import quantiles
 
@@ -72,9 +72,9 @@ def scored(df: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def triaged(df: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, primary and secondary scenario with their scores, confidence, risk band and evidence of each row."""
-    out = scored(df, thresholds)
-    # scores are compared to twelve digits, so that equal formulas tie
-    ranked = ranked_labels({name: F.round(name, 12) for name in SCORES})
+    # scores have twelve digits, so that equal formulas tie and what is made of a score does not hang on its last bits
+    out = scored(df, thresholds).withColumns({name: rounded(F.col(name), 12) for name in SCORES})
+    ranked = ranked_labels({name: F.col(name) for name in SCORES})
     by_name = F.create_map(*(x for name in SCORES for x in (F.lit(name), F.col(name))))
     out = out.withColumns({"primary": ranked[0], "secondary": ranked[1], "by_name": by_name}).withColumns({"first": F.col("by_name")[F.col("primary")], "second": F.col("by_name")[F.col("secondary")]})
     phrase = [F.when(F.col("exceeds")[c] >= 1, F.format_string(f"{text} (%.{digits}f)", F.col(c))) for c, text, digits in PHRASES]

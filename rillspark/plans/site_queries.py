@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillspark.functions.scores import rounded
 from rillspark.operators import formulas, measures, series, site, triage, whatif
 from rillspark.plans.book import Book, Tables
 
@@ -174,7 +175,7 @@ def _triage(t: Tables) -> DataFrame:
 @BOOK.query(_WITH + _triage_sql() + 'SELECT site, day, "primary", secondary, round(a, 6) AS primary_score, round(b, 6) AS secondary_score, confidence, risk_band, regexp_replace(evidence, \' \\([0-9.-]+\\)\', \'\', \'g\') AS evidence FROM v')
 def scenario_triage(t: Tables):
     # values are printed to their digits, which two engines round differently at ties
-    return _triage(t).select("site", _day(), "primary", "secondary", F.round("primary_score", 6).alias("primary_score"), F.round("secondary_score", 6).alias("secondary_score"), "confidence", "risk_band", F.regexp_replace("evidence", r" \([0-9.-]+\)", "").alias("evidence"))
+    return _triage(t).select("site", _day(), "primary", "secondary", rounded(F.col("primary_score"), 6).alias("primary_score"), rounded(F.col("secondary_score"), 6).alias("secondary_score"), "confidence", "risk_band", F.regexp_replace("evidence", r" \([0-9.-]+\)", "").alias("evidence"))
 
 
 @BOOK.query(_WITH + _triage_sql() + 'SELECT "primary", count(*) AS n, round(avg(a), 4) AS mean_score FROM v GROUP BY 1')
@@ -184,8 +185,8 @@ def triage_summary(t: Tables):
 
 @BOOK.query(_WITH + _triage_sql() + 'SELECT site, day, "primary", round(a, 6) AS primary_score, risk_band FROM (SELECT * FROM v ORDER BY round(a, 9) DESC, round(transition_prob, 9) DESC, site, day LIMIT 12)')
 def high_risk_days(t: Tables):
-    urgent = _triage(t).withColumns({"primary_score": F.round("primary_score", 9), "transition_prob": F.round("transition_prob", 9)})
-    return triage.most_urgent(urgent, ["site", "day"]).select("site", _day(), "primary", F.round("primary_score", 6).alias("primary_score"), "risk_band")
+    urgent = _triage(t).withColumns({c: rounded(F.col(c), 9) for c in ("primary_score", "transition_prob")})
+    return triage.most_urgent(urgent, ["site", "day"]).select("site", _day(), "primary", rounded(F.col("primary_score"), 6).alias("primary_score"), "risk_band")
 
 
 _BOOK_SQL = " UNION ALL ".join(f"SELECT '{k}' AS p, {i} AS step, '{a}' AS action" for k, v in triage.PLAYBOOK.items() for i, a in enumerate(v))
