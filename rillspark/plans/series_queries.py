@@ -20,12 +20,6 @@ def _day():
     return F.date_format("day", "yyyy-MM-dd").alias("day")
 
 
-def _rounded_as_sql(c, digits: int):
-    """Like ``round`` of the SQL, which keeps the sign of what it rounds to zero."""
-    r = F.round(c, digits)
-    return F.when((r == 0) & (c < 0), F.lit(-0.0)).otherwise(r)
-
-
 def _stations(t: Tables):
     return series.daily(t("events"), "ts", "value", "user_id")
 
@@ -46,10 +40,10 @@ def daily_station_profile(t: Tables):
     return d.crossJoin(F.broadcast(q)).select(
         "user_id",
         _day(),
-        F.round("value", 6).alias("value"),
-        F.round(series.rolling("value", 3, F.sum, "user_id"), 6).alias("sum3"),
-        F.round(series.rolling("value", 7, F.sum, "user_id"), 6).alias("sum7"),
-        _rounded_as_sql(series.difference("value", "user_id"), 6).alias("change"),
+        scores.rounded(F.col("value"), 6).alias("value"),
+        scores.rounded(series.rolling("value", 3, F.sum, "user_id"), 6).alias("sum3"),
+        scores.rounded(series.rolling("value", 7, F.sum, "user_id"), 6).alias("sum7"),
+        scores.rounded(series.difference("value", "user_id"), 6).alias("change"),
         scores.tertile(F.col("value"), F.col("a"), F.col("b")).alias("label"),
     )
 

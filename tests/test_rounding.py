@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import duckdb
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillspark.functions import scores
 from rillspark.operators import triage
+from rillspark.plans import catalog
 
 
 def test_ties_are_rounded_as_in_sql(spark):
@@ -33,3 +35,14 @@ def test_triage_goes_by_scores_of_twelve_digits(spark):
     c_form = lambda v: math.floor(v * 1e12 + 0.5) / 1e12
     assert any(whole[x.id][x.primary] != c_form(whole[x.id][x.primary]) for x in got), "some have more digits"
     assert all(x.primary_score == c_form(whole[x.id][x.primary]) and x.secondary_score == c_form(whole[x.id][x.secondary]) for x in got)
+
+
+def test_daily_means_that_tie_are_rounded_as_in_sql(spark, tmp_path):
+    # the mean of 32 amounts of two digits ends in a 5 at its seventh digit, or in none
+    r = random.Random(3)
+    rows = [(u, datetime(2024, 1, 1 + d), r.randint(1, 40000) / 100) for u in range(60) for d in range(6) for _ in range(32)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"SET threads = 1; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.QUERIES["daily_station_profile"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(map(str, x)) for x in got) == sorted(tuple(map(str, x)) for x in duck.sql(catalog.ORACLE["daily_station_profile"]).fetchall())
