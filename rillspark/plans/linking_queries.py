@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.operators import communities, linking, search_index, similarity, texts
+from rillspark.operators import communities, linking, search_index, similarity
 from rillspark.plans.book import Book, Tables
 
 BOOK = Book()
@@ -98,10 +98,8 @@ def indexed_search(t: Tables):
     """The five documents nearest to each benchmark item by TF-IDF, over a written index that is read block by block."""
     split = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     docs = t("documents").select("doc_id", "text")
-    index = search_index.built(texts.tf_idf(docs, "doc_id", split), "doc_id")
-    # what a list's length says of a term is in the index: its document frequency
+    index, df = search_index.of_texts(docs, "doc_id", split)
     n = docs.count()
-    df = index.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
     tf = t("benchmark").select("item_id", F.explode(split).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
     asked = tf.join(df, "term").select("item_id", "term", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("weight"))
     return search_index.searched(index, asked, "item_id", 5)[0]

@@ -52,3 +52,40 @@ def test_only_the_buckets_of_the_terms_are_read(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters")[1][:60] and "In(term" in plan.replace("EqualTo(term", "In(term")
     assert [r.docs for r in rows.collect()] == [[3]]
+
+
+def test_lists_made_block_by_block_are_those_of_the_postings(spark):
+    from pyspark.sql import functions as F
+
+    from rillspark.operators import texts
+
+    r = random.Random(5)
+    # repeated ids, ids and texts that are null, texts without words
+    rows = [(i // 2 if i % 9 == 0 else i, " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 12)))) for i in range(120)]
+    rows += [(None, "a hh new"), (None, "a"), (500, None), (501, ""), (502, "12 34")]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    split = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    index, frequencies = search_index.of_texts(docs, "doc", split, docs_of_block=16, buckets=4)
+    flat = lambda d: {(x.term, x.block, a): b for x in d.collect() for a, b in zip(x.docs, x.weights, strict=True)}
+    got = flat(index)
+    want = {(t, d): w for d, t, w in texts.tf_idf(docs, "doc", split).select("doc", "term", "weight").collect()}
+    assert {(t, d): w for (t, _, d), w in got.items()} == pytest.approx(want) and len(got) == len(want)
+    assert all(x.top == max(x.weights) and x.n == len(x.docs) for x in index.collect()) and index.select("block").distinct().count() > 3
+    df = defaultdict(set)
+    for d, text in rows:
+        for t in (text or "").split():
+            if t.isalpha():
+                df[t].add(d)
+    assert {x.term: x.df for x in frequencies.collect()} == {t: len(d) for t, d in df.items()}
+    empty = search_index.of_texts(docs.limit(0), "doc", split)
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_questions_meet_a_block_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(search_index, "QUESTIONS_OF_GROUP", 2)
+    postings = {(d, f"t{d % 5 + i}"): (d * 7 + i) % 11 + 1.0 for d in range(60) for i in range(3)}
+    questions = {(q, f"t{q % 4 + i}"): 1.0 + i for q in range(7) for i in range(2)}
+    d = spark.createDataFrame([(d, t, w) for (d, t), w in postings.items()], "doc long, term string, weight double")
+    q = spark.createDataFrame([(k, t, w) for (k, t), w in questions.items()], "q long, term string, weight double")
+    best, _ = search_index.searched(search_index.built(d, "doc", docs_of_block=20), q, "q", 3)
+    assert {(x.q, x.doc, x.score, x["rank"]) for x in best.collect()} == plain(postings, questions, 3)
