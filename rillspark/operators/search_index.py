@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.operators.ranking import top_of_each
-from rillspark.session import written
+from rillspark.session import removed, tables_so_far, written
 
-DOCS_OF_BLOCK, BUCKETS = 1024, 64
+DOCS_OF_BLOCK, BUCKETS = 4096, 64
 #: Blocks of each question that are read to find a bar for the others.
 FIRST_BLOCKS = 8
 #: Up to so many terms are looked up by value, so that the reader can skip row groups.
@@ -30,11 +30,12 @@ QUESTIONS_OF_GROUP = 1024
 
 
 def _stored(lists: DataFrame, blocks: int, buckets: int) -> DataFrame:
-    """Lists (term, block, n, top, docs, weights) written in folders by bucket of the term, sorted by term inside."""
-    rows = lists.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "block", "n", "top", "docs", "weights")
+    """Lists (term, block, docs, weights) written in folders by bucket of the term, sorted by term inside."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     # a bucket of a common term is spread over groups of blocks
-    spread = rows.repartition("bucket", F.pmod("block", F.lit(-(-blocks // BLOCKS_OF_FILE)))).sortWithinPartitions("bucket", "term", "block")
-    return written(spread, "index", by=["bucket"], drop_shuffles=True)
+    spread = lists.repartition(bucket, F.pmod("block", F.lit(-(-blocks // BLOCKS_OF_FILE))))
+    rows = spread.select(bucket.alias("bucket"), "term", "block", F.size("docs").alias("n"), F.array_max("weights").alias("top"), "docs", "weights")
+    return written(rows.sortWithinPartitions("bucket", "term", "block"), "index", by=["bucket"], drop_shuffles=True)
 
 
 def built(weights: DataFrame, doc: str, docs_of_block: int = DOCS_OF_BLOCK, buckets: int = BUCKETS) -> DataFrame:
@@ -51,7 +52,7 @@ def built(weights: DataFrame, doc: str, docs_of_block: int = DOCS_OF_BLOCK, buck
     lists = known.groupBy("term", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")).agg(both.alias("all"))
     lists = lists.select("term", "block", F.filter("all", lambda x, i: (i == F.size("all") - 1) | (F.get("all", i + 1)["doc"] != x["doc"])).alias("list"))
     of = lambda c: F.transform("list", lambda x: x[c])
-    return _stored(lists.select("term", "block", F.size("list").alias("n"), F.array_max(of("weight")).alias("top"), of("doc").alias("docs"), of("weight").alias("weights")), blocks, buckets)
+    return _stored(lists.select("term", "block", of("doc").alias("docs"), of("weight").alias("weights")), blocks, buckets)
 
 
 def _lists(parents: np.ndarray) -> np.ndarray:
@@ -81,23 +82,13 @@ def _counted(rows: pa.Table) -> pa.Table:
 
 
 def _weighed(rows: pa.Table) -> pa.Table:
-    """term, block, n, top, docs, weights of the lists (term, block, docs, tfs, idf) of a block: its documents have unit length."""
+    """term, block, docs, weights of the lists (term, block, docs, tfs, idf) of a block: its documents have unit length."""
     lists, tfs = rows["docs"].combine_chunks(), rows["tfs"].combine_chunks()
     docs, parents = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     at = docs.indices.to_numpy(zero_copy_only=False)
     w = (1 + np.log(tfs.flatten().to_numpy(zero_copy_only=False))) * rows["idf"].to_numpy()[parents]
     w = w / np.sqrt(np.bincount(at, w * w))[at]
-    offsets = _lists(parents)
-    return pa.table(
-        {
-            "term": rows["term"],
-            "block": rows["block"],
-            "n": pa.array(np.diff(offsets), pa.int32()),
-            "top": pa.array(np.maximum.reduceat(w, offsets[:-1])),
-            "docs": lists,
-            "weights": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(w)),
-        }
-    )
+    return pa.table({"term": rows["term"], "block": rows["block"], "docs": lists, "weights": pa.ListArray.from_arrays(pa.array(_lists(parents), pa.int32()), pa.array(w))})
 
 
 def of_texts(docs: DataFrame, doc: str, terms: Column, docs_of_block: int = DOCS_OF_BLOCK, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
@@ -106,6 +97,7 @@ def of_texts(docs: DataFrame, doc: str, terms: Column, docs_of_block: int = DOCS
     Texts go to the task of their block, once; there its terms are counted and its lists made, so no posting is a row of
     a shuffle.  A block's lists go to the frequencies of their terms and come back to the block, where lengths are known.
     """
+    mark = tables_so_far()
     kind = docs.schema[doc].dataType.simpleString()
     ids = docs.where(F.col(doc).isNotNull())
     blocks = max(1, -(-ids.select(doc).distinct().count() // docs_of_block))
@@ -117,8 +109,10 @@ def of_texts(docs: DataFrame, doc: str, terms: Column, docs_of_block: int = DOCS
     frequencies = written(lists.select("term", "n").unionByName(nameless).groupBy("term").agg(F.sum("n").alias("df")), "frequencies", drop_shuffles=True)
     idf = F.log((1 + F.lit(docs.count())) / (1 + F.col("df"))) + 1
     known = lists.join(frequencies, "term").select("term", "block", "docs", "tfs", idf.alias("idf")).repartition(blocks, "block")
-    weighed = known.groupBy("block").applyInArrow(_weighed, f"term string, block long, n int, top double, docs array<{kind}>, weights array<double>")
-    return _stored(weighed, blocks, buckets), frequencies
+    weighed = known.groupBy("block").applyInArrow(_weighed, f"term string, block long, docs array<{kind}>, weights array<double>")
+    index = _stored(weighed, blocks, buckets)
+    removed(docs.sparkSession, mark, keep=[index, frequencies])
+    return index, frequencies
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:
